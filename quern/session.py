@@ -18,6 +18,6 @@ def get_session(app: str = "quern", cpus: int | None = None) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("QUERN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
