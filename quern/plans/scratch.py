@@ -7,6 +7,7 @@ made only where the setting is absent (tests, local runs).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -51,3 +52,17 @@ class Scratch:
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._quern_path), True)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of an eager step."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
