@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -13,12 +12,13 @@ FLAGSHIP = "entity_manifest"
 
 
 def query(oracle: str | None = None):
-    """Registers a builder under its function's name, with the SQL of its rows where SQL can say them."""
+    """Registers a builder under its function's name (less "_query"), with the SQL of its rows where SQL can say them."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__.removesuffix("_query")
+        QUERIES[name] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[name] = oracle
         return f
 
     return put
@@ -28,13 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "SELECT row_number() OVER (ORDER BY sequence_sha256) - 1 AS entity_idx, sequence_sha256, length FROM "
-    "(SELECT DISTINCT sha256(trim(text)) AS sequence_sha256, length(trim(text)) AS length FROM documents WHERE text IS NOT NULL)"
-)
-def entity_manifest(spark, d):
-    """Distinct texts by hash, numbered densely in hash order."""
-    from pyspark.sql import Window as W
-
-    e = table(spark, d, "documents").where("text is not null").select(F.sha2(F.trim("text"), 256).alias("sequence_sha256"), F.length(F.trim("text")).alias("length").cast("long")).distinct()
-    return e.withColumn("entity_idx", (F.row_number().over(W.orderBy("sequence_sha256")) - 1).cast("long"))
+# the modules register their queries as they are imported
+from quern.plans import queries_metrics, queries_relational, queries_sequence  # noqa: E402, F401
