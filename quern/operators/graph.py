@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from quern.plans.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """edges (a, b): undirected, of any orderable type, self-loops, repeats and nulls allowed (and
     ignored). Returns (node, root) for every node that has a neighbour; root is the smallest node of
-    its component. Nodes without an edge are not listed: they are their own root."""
+    its component. Nodes without an edge are not listed: they are their own root. rows: the number of
+    edges, where it is known, so that a small graph is written as few files."""
     e = (
         edges.where((F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    e = scratch.write(e, "cc")
+    e = scratch.write(e, "cc", rows)
     before = None
     for _ in range(max_rounds):
         sym = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -32,10 +33,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
             large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        new = scratch.write(small, "cc")
+        new = scratch.write(small, "cc", rows)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         scratch.drop(e)
-        e = new
+        e, rows = new, now[0]
         if tuple(now) == before:
             break
         before = tuple(now)

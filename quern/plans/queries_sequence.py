@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.descriptors import AMINO_ACIDS, GROUPS, describe
 from quern.functions.scalar import entropy_bits
-from quern.operators import audit, features, identity, split
+from quern.operators import audit, features, fusion, identity, split
 from quern.operators.graph import connected_components
 from quern.plans.fixtures import LCS, OBS, RES, SHORT, obs, residues, short, table
 from quern.plans.scratch import Scratch
@@ -179,11 +179,11 @@ def train_only_standardise(spark, d):
     return features.train_only_standardise(o, ["x", "z"], F.col("doc_id") % 4 != 0).select("doc_id", F.round("z_x", 6).alias("z_x"), F.round("z_z", 6).alias("z_z"))
 
 
-NBR = RES + ", p AS (SELECT a.entity, a.pos AS i, b.pos AS j, sqrt(pow(a.value - b.value, 2) + pow(a.rsa * 100 - b.rsa * 100, 2)) AS dist FROM res a JOIN res b ON a.entity = b.entity AND a.pos <> b.pos), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, i ORDER BY round(dist, 9), j) AS rank FROM p) WHERE rank <= 3)"
+NBR = RES + ", p AS (SELECT a.entity, a.pos AS i, b.pos AS j, sqrt(pow(a.value - b.value, 2) + pow(round(a.rsa * 100) - round(b.rsa * 100), 2)) AS dist FROM res a JOIN res b ON a.entity = b.entity AND a.pos <> b.pos), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, i ORDER BY round(dist, 9), j) AS rank FROM p) WHERE rank <= 3)"
 
 
 def neighbour_rows(spark, d):
-    r = residues(spark, d).withColumn("c", F.col("rsa") * 100)
+    r = residues(spark, d).withColumn("c", F.round(F.col("rsa") * 100))
     return features.neighbours(r, "entity", "pos", ["value", "c"], 3), r
 
 
@@ -293,3 +293,31 @@ def schema_adapter(spark, d):
 
     top = F.max("rsa").over(W.partitionBy("entity"))
     return residues(spark, d).select("entity", "pos", F.when(top > 0.05, F.col("rsa") / 0.1).otherwise(F.col("rsa")).alias("scaled"), F.round(F.least(F.greatest(F.col("value") * 0.2 / 50 + 0.3, F.lit(0.0)), F.lit(1.0)), 6).alias("restored"))
+
+
+@query(f"WITH {RES} SELECT entity, pos, round(value * 0.7e0 + sqrt(price) / 1e3 * 0.3e0, 6) AS late, round(value + (sqrt(price) / 1e3) / (1 + exp(-(rsa * 10))), 6) AS gated, round(value * (1 + rsa) + sqrt(price) / 1e3, 6) AS film, round(value * (ln(1 + exp(0.25e0)) + 1e-4) - 1, 6) AS head FROM res")
+def fusion_forward(spark, d):
+    """Late, gated and feature-wise fusion, and a monotone head, with given weights."""
+    r, v, p = residues(spark, d), F.col("value"), F.sqrt("price") / 1e3
+    return r.select("entity", "pos", F.round(fusion.late(v, p, 0.3), 6).alias("late"), F.round(fusion.gated_residual(v, p, F.col("rsa") * 10), 6).alias("gated"), F.round(fusion.film(v, F.col("rsa"), p), 6).alias("film"), F.round(fusion.monotone_head(v, 0.25, -1.0), 6).alias("head"))
+
+
+@query(f"WITH {NBR}, w AS (SELECT nb.entity, i, exp(-pow(dist / 4e0, 2)) * (1 - b.rsa) AS w, b.value / 50 AS v FROM nb JOIN res b ON b.entity = nb.entity AND b.pos = nb.j WHERE dist > 0), m AS (SELECT entity, i, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2) SELECT res.entity, pos, round(value / 50 + tanh(coalesce(m, 0)), 6) AS out FROM res LEFT JOIN m ON m.entity = res.entity AND m.i = res.pos")
+def message_passing(spark, d):
+    """One attention layer over neighbours, scaled by their confidence."""
+    nbrs, r = neighbour_rows(spark, d)
+    v = r.select("entity", "pos", (F.col("value") / 50).alias("v"), (1 - F.col("rsa")).alias("c"))
+    return fusion.message_layer(nbrs, v, "entity", "v", 4.0, "c").select("entity", "pos", F.round("out", 6).alias("out"))
+
+
+@query(f"WITH {RES} SELECT entity, round(sum(value * (1 - rsa)) / greatest(sum(1 - rsa), 1e-6), 6) AS pooled FROM res GROUP BY entity")
+def confidence_pool(spark, d):
+    """Confidence-weighted pooling."""
+    r = residues(spark, d).withColumn("c", 1 - F.col("rsa"))
+    return fusion.confidence_gate(r, ["entity"], "value", "c").select("entity", F.round("pooled", 6).alias("pooled"))
+
+
+@query(f"WITH {RES}, w AS (SELECT *, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s FROM res WINDOW p AS (PARTITION BY entity)) SELECT entity, pos, round((value - m) / sqrt(s * s + 1e-5), 6) AS normed FROM w")
+def layer_norm(spark, d):
+    """Normalisation inside a group."""
+    return fusion.layer_norm(residues(spark, d), ["entity"], "value").select("entity", "pos", F.round("normed", 6).alias("normed"))

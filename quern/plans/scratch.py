@@ -12,9 +12,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+ROWS_PER_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,17 +43,28 @@ class Scratch:
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+        """rows: how many there are at most, about; a small table then becomes few files."""
         self._n += 1
+        if rows is not None:
+            df = df.coalesce(max(1, rows // ROWS_PER_FILE))
         path = f"{self.base}/{self._n:03d}-{name}"
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quern_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A small or short-lived table on the executors' disks. Unlike a local checkpoint it has its
+        lineage: what a lost executor held is computed again."""
+        return df.persist(StorageLevel.DISK_ONLY)
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._quern_path), True)
+            if hasattr(df, "_quern_path"):
+                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._quern_path), True)
+            else:
+                df.unpersist()
 
 
 @contextlib.contextmanager

@@ -46,7 +46,7 @@ def parse_fasta(lines: Column, upper: bool = True, strict: bool = True) -> Colum
 def read_fasta(spark: SparkSession, path: str, upper: bool = True, strict: bool = True) -> DataFrame:
     """(path, ordinal, header, sequence); gzip by the file's ending. A file is one record of text, so
     cut very large collections into files."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.explode(parse_fasta(F.col("value"), upper, strict)).alias("r")).select("path", "r.*")
 
 
