@@ -23,15 +23,15 @@ def corr(x: str, y: str):
 
 
 def auroc(df, by, target="target", score="score", weight=None, parts=32) -> DataFrame:
-    """Share of positive-negative pairs in order, ties half."""
+    """Share of positive-negative pairs in order, ties half; null without pairs."""
     g = running_sums(_grid(df, by, target, score, weight), by, "s", {"cn": "n"}, parts=parts)
-    return g.groupBy(*by).agg((F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)) / F.try_divide(F.sum("p") * F.sum("n"), F.lit(1.0))).alias("auroc"))
+    return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
 def average_precision(df, by, target="target", score="score", weight=None, parts=32) -> DataFrame:
     """Sum of recall steps times precision over distinct thresholds."""
     g = running_sums(_grid(df, by, target, score, weight), by, "s", {"tp": "p", "fp": "n"}, descending=True, parts=parts)
-    return g.groupBy(*by).agg((F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")).alias("auprc"))
+    return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p")).alias("auprc"))
 
 
 def confusion(df, by, target="target", score="score", threshold=0.5, weight=None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +67,12 @@ class Scratch:
             else:
                 df.unpersist()
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now, not at the driver's next garbage
+        collection: a long operator would else hold the files of all its steps."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
