@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.textcore import frugal, frugal_group
 from quern.llm.vectors import dots, matrix, usable, width
 from quern.plans.scratch import Scratch
 
@@ -121,7 +122,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             leaf = leaf_of(projected(x, False), tree[0], tree[1], depth)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "q", "leaf", "v"])
 
-    rows = scratch.write(good.mapInArrow(index, "id long, q boolean, leaf int, v binary"), "indexed")
+    rows = scratch.write(good.mapInArrow(frugal(index), "id long, q boolean, leaf int, v binary"), "indexed")
     counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # LEAVES rows at most
     blocks = {leaf: max(1, math.ceil(c / BLOCK)) for leaf, c in counts.items()}
     firsts, at = {}, 0
@@ -160,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return pd.DataFrame(out, columns=["block", "strand", "kind", "body"])
 
     placed = rows.join(where, "leaf").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    packed = placed.select("block", "id", "q", "v").groupBy("block").applyInPandas(pack, "block int, strand int, kind string, body binary")
+    packed = placed.select("block", "id", "q", "v").groupBy("block").applyInPandas(frugal_group(pack), "block int, strand int, kind string, body binary")
     packed = scratch.write(packed, "packed")
 
     def unpack(batches):
@@ -168,7 +169,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             for body in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_pandas(pickle.loads(body), preserve_index=False)
 
-    seeds = packed.where("kind = 'found'").select("body").mapInArrow(unpack, out_schema)
+    seeds = packed.where("kind = 'found'").select("body").mapInArrow(frugal(unpack), out_schema)
 
     def match(key, pdf):
         data = [b for kind, b in zip(pdf["kind"], pdf["body"]) if kind == "data"]
@@ -203,7 +204,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     data = packed.where("kind = 'data'").withColumn("strand", F.explode(F.sequence(F.lit(0), F.lit(strands - 1))))
     met = data.select("block", "strand", "kind", "body").union(packed.where("kind = 'ask'").select("block", "strand", "kind", "body"))
-    others = met.groupBy("block", "strand").applyInPandas(match, out_schema)
+    others = met.groupBy("block", "strand").applyInPandas(frugal_group(match), out_schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return seeds.union(others).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

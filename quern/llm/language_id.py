@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import LOWER, slices
+from quern.llm.textcore import LOWER, frugal, slices, tidy
 
 TRAIN, LANDMARKS, MAX_LANGS = 1600, 240, 64
 RIDGE = 1e-3
@@ -72,14 +72,18 @@ def fit(sets: list[np.ndarray], langs: list[str], ridge: float = RIDGE, landmark
     by = [[k for k, x in enumerate(langs) if x == n] for n in names]
     chosen = [own[r] for r in range(max(map(len, by))) for own in by if r < len(own)][:landmarks]
     used = np.unique(np.concatenate([sets[k] for k in chosen]))
-    x = np.zeros((len(sets), len(used)), np.float32)
-    for k, s in enumerate(sets):
-        at = np.searchsorted(used, s)
-        at = at[(at < len(used))]
-        own = s[: len(at)]
-        x[k, at[used[at] == own]] = 1 / np.sqrt(max(len(s), 1))
-    mark = x[chosen]
-    knm = (x @ mark.T).astype(float)
+
+    def rows(numbers):
+        """Scaled presence vectors over the landmarks' n-grams."""
+        x = np.zeros((len(numbers), len(used)), np.float32)
+        for row, k in zip(x, numbers):
+            at = np.searchsorted(used, sets[k])
+            at[at == len(used)] = 0
+            row[at[used[at] == sets[k]]] = 1 / np.sqrt(max(len(sets[k]), 1))
+        return x
+
+    mark = rows(chosen)
+    knm = np.concatenate([rows(range(a, min(a + 64, len(sets)))) @ mark.T for a in range(0, len(sets), 64)]).astype(float)
     kmm = knm[chosen]
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     left = knm.T @ knm + ridge * len(sets) * kmm + 1e-9 * np.eye(len(chosen)) * len(sets)
@@ -102,7 +106,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def held(id_col: str):
@@ -126,10 +130,15 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i + k].as_py() for k in keep], pa.float64()), pa.array([b.column(1)[i + k].as_py() for k in keep], pa.string()), pa.array([sets[k].astype(np.int32).tobytes() for k in keep], pa.binary())], ["r", "l", "s"])
 
     sample = part.select(rank.alias("r"), "l", "t").where(F.col("r") < F.element_at(share, F.col("l")))
-    got = sample.mapInArrow(run, "r double, l string, s binary").orderBy("r", "l", "s").limit(2 * train + 100).collect()
+    got = sample.mapInArrow(frugal(run), "r double, l string, s binary").orderBy("r", "l", "s").limit(2 * train + 100).collect()
     if not got:
         return [], np.zeros((DIM, 0), np.float32)
-    return fit([np.frombuffer(r["s"], np.int32).astype(np.int64) for r in got], [r["l"] for r in got])
+    sets, langs = [np.frombuffer(r["s"], np.int32) for r in got], [r["l"] for r in got]
+    del got
+    out = fit(sets, langs)
+    del sets
+    tidy()
+    return out
 
 
 def predict(sets, has, names, matrix) -> tuple[list[str], np.ndarray]:
@@ -159,7 +168,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ok += [p != "und" and s >= least for p, s in zip(pred, score)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op10_language_id(spark, d):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import mix
+from quern.llm.textcore import frugal, frugal_group, mix
 from quern.llm.vectors import dots, matrix, usable, width
 from quern.operators.graph import connected_components
 from quern.plans.scratch import Scratch
@@ -126,7 +126,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             cid = b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([np.repeat(cid, tables), np.repeat(cid, tables * probes)])), pa.array(np.repeat([True, False], [n * tables, n * tables * probes]))], ["cell", "cid", "home"])
 
-    keys = scratch.write(classes.select("cid", "v").mapInArrow(hash_rows, "cell long, cid long, home boolean"), "keys")
+    keys = scratch.write(classes.select("cid", "v").mapInArrow(frugal(hash_rows), "cell long, cid long, home boolean"), "keys")
     count = keys.groupBy("cell").agg(F.count_if("home").alias("r"), F.count("*").alias("n")).where("r > 0 and n > 1")
     live = keys.join(count, "cell")
     parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         out = (k > 0) | (label != np.arange(len(names)))
         return pd.DataFrame({"cid": names[out], "k": k[out].astype(np.int64), "peer": names[label[out]]})
 
-    found = scratch.write(full.groupBy("g").applyInPandas(meet, "cid long, k long, peer long"), "links")
+    found = scratch.write(full.groupBy("g").applyInPandas(frugal_group(meet), "cid long, k long, peer long"), "links")
     links = found.groupBy("cid").agg(F.sum("k").alias("k"))
     root = connected_components(found.select(F.col("cid").alias("a"), F.col("peer").alias("b")), scratch).withColumnRenamed("node", "cid")
     own = classes.select("sig", "cid", "w", "low").join(links, "cid", "left").join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

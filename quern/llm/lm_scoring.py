@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import mix, slices, words
+from quern.llm.textcore import frugal, frugal_group, mix, slices, words
 from quern.plans.scratch import Scratch
 
 CHUNK = 12 << 20
@@ -113,7 +113,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     role = F.when(crc % 7 == 2, 0).otherwise(1)
-    return docs.select(F.col(id_col).cast("long").alias("i"), role.cast("int").alias("r"), F.col(text_col).alias("t")).mapInArrow(run, "chunk long, ids binary, has_id binary, role binary, lens binary, texts binary, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("i"), role.cast("int").alias("r"), F.col(text_col).alias("t")).mapInArrow(frugal(run), "chunk long, ids binary, has_id binary, role binary, lens binary, texts binary, n_tokens long")
 
 
 def _open(b: pa.RecordBatch, k: int):
@@ -158,8 +158,8 @@ def replies(packed: DataFrame, buckets: int) -> DataFrame:
                 at += len(own)
         return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "counts"])
 
-    asked = packed.mapInArrow(ask, "bucket int, chunk long, kind int, h binary, c binary")
-    return asked.groupBy("bucket").applyInPandas(add, "chunk long, kind int, bucket int, counts binary")
+    asked = packed.mapInArrow(frugal(ask), "bucket int, chunk long, kind int, h binary, c binary")
+    return asked.groupBy("bucket").applyInPandas(frugal_group(add), "chunk long, kind int, bucket int, counts binary")
 
 
 def _events(doc_rows, reply_rows):
@@ -217,7 +217,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 s += np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([int(s[0])]), pa.array([int(s[1])])], ["v", "n"])
 
-    row = stats.mapInArrow(total, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    row = stats.mapInArrow(frugal(total), "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     types, tokens = row[0] or 0, row[1] or 0
     own = reply.where("chunk >= 0")
 
@@ -240,7 +240,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     table = np.zeros(LEVELS * BINS * BINS)
     joined = packed.groupBy("chunk").cogroup(own.groupBy("chunk"))
-    for r in joined.applyInArrow(learn, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in joined.applyInArrow(frugal_group(learn), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[r["cell"]] = r["n"]
     weights = _em(table.reshape(LEVELS, BINS, BINS), tokens, types)
 
@@ -263,7 +263,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.applyInArrow(judge, schema)
+    return joined.applyInArrow(frugal_group(judge), schema)
 
 
 def op5_lm_scoring(spark, d):

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.textcore import frugal
+
 CAPACITY = 2048
 END_ID = 1
 GROUP_TOKENS = 2_000_000
@@ -190,7 +192,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         if ids:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(frugal(run), schema)
 
 
 def op6_packing(spark, d):

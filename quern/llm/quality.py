@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import slices, words
+from quern.llm.textcore import frugal, slices, words
 from quern.plans.scratch import Scratch
 
 TRAIN = 16_000
@@ -68,9 +68,9 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Flat arrays of TREES complete trees: feature and threshold of inner nodes, value of leaves."""
     inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
-    mean = float(y.mean()) if len(y) else 0.5
+    mean = float(y.mean()) if len(y) else 0.0
     model = {"feature": np.zeros((TREES, inner), np.int32), "threshold": np.full((TREES, inner), np.inf, np.float32), "value": np.zeros((TREES, leaves)), "start": np.array(0.0)}
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         model["start"] = np.array([0.0 if not len(y) else np.inf if mean == 1 else -np.inf])[0]
         return model
     model["start"] = np.array(np.log(mean / (1 - mean)))
@@ -129,7 +129,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), stats], ["doc_id", "held_out", "stats"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("t"))
-    table = scratch.write(rows.mapInArrow(measure, "doc_id long, held_out boolean, stats array<float>"), "stats")
+    table = scratch.write(rows.mapInArrow(frugal(measure), "doc_id long, held_out boolean, stats array<float>"), "stats")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y"))
     part = table.where(~F.col("held_out")).join(known, "doc_id")
     n = part.select("doc_id").count()
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             p = probability(model.value, x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return table.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return table.mapInArrow(frugal(judge), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op1_quality(spark, d):

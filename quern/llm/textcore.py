@@ -6,15 +6,17 @@ as nothing else, so bytes and characters give the same words.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,6 +28,44 @@ _pow: dict[str, np.ndarray] = {}
 _STEP = [_U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers are reused, and would each keep the most
+    that any batch took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def frugal(f: Callable) -> Callable:
+    """A function of batches that tidies up after each batch it yields."""
+    def run(batches):
+        for out in f(batches):
+            yield out
+            del out
+            tidy()
+
+    return run
+
+
+def frugal_group(f: Callable) -> Callable:
+    """A function of a group's key and rows that tidies up after each group."""
+    def run(key, *rows):
+        out = f(key, *rows)
+        tidy()
+        return out
+
+    if f.__code__.co_argcount == 2:
+        return lambda key, pdf: run(key, pdf)
+    return lambda key, left, right: run(key, left, right)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE ** k and its inverse modulo 2**64, for k up to n."""
     if len(_pow.get("up", ())) <= n:
@@ -145,6 +185,6 @@ def merge_counters(partial: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [int(key[0])], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
     out = np.zeros(SKETCH, np.uint32)
-    for r in partial.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+    for r in partial.groupBy("part").applyInPandas(frugal_group(add), "part int, counts binary").collect():
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out
