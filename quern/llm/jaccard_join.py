@@ -4,13 +4,14 @@ A document's set is its distinct 5-word shingles. Two sets of Jaccard similarity
 of their first n - ceil(t n) + 1 shingles in any common order. The order here is by (estimated
 document frequency, hash), the estimate from a sketch of bounded size, so prefixes hold rare shingles.
 
-Copies with equal sets are one class. Classes of equal size and equal prefix are one group. Groups
-that share a prefix shingle are filtered by size and position, then expanded to their classes, and
-each candidate pair is verified on its whole sets. Candidates are taken in two rounds so that a big
-group of near copies never gives all its pairs: first each shingle's first group of a size band
-against its others; then, exactly, all groups of a shingle that lie in different components so far.
-A pair that is never verified thus lies within one component already, and components are those of
-the complete link graph.
+Copies with equal sets are one class. Classes of equal size and equal prefix are one group, whose
+prefix is looked up once. Pairs of groups that share a prefix shingle are filtered by size and position and
+expanded to their classes, pairs of classes by parity maps of their sets (exact bounds all three), and
+each candidate is verified on its whole sets. Candidates are taken in rounds so that a big group of near
+copies never gives all its pairs: first a pivot of each shingle and size band against the others in
+other components, several times; then, exactly, all pairs of a shingle that still lie in different
+components. A pair that is never verified thus lies within one component already, and components are
+those of the complete link graph.
 
 Rows in Spark are shingles shared by two groups at least; shingles of a single group are dropped in
 numpy, in buckets of bounded size. Shingles estimated to be too frequent for a bucket bypass them.
@@ -27,14 +28,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import SKETCH, Counters, merge_counters, shingle_sets, slices, words
+from quern.llm.textcore import SKETCH, Counters, frugal, frugal_group, merge_counters, shingle_sets, slices, words
 from quern.operators.graph import connected_components
-from quern.plans.scratch import Scratch
+from quern.plans.scratch import Scratch, setting
 
+PARITY = 1024  # bits of a set's parity map
+ROUNDS = 2  # rounds of pivots
 BUCKET = 500_000  # prefix shingles in a bucket, about
 HOT = 100_000  # a shingle estimated in more groups bypasses the buckets
 
@@ -53,7 +58,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             c.add(np.concatenate(sets))
         yield c.rows()
 
-    return merge_counters(docs.mapInArrow(run, "part int, counts binary"))
+    return merge_counters(docs.mapInArrow(frugal(run), "part int, counts binary"))
 
 
 def profiles(docs: DataFrame, k: int, t: tuple[int, int], freq) -> DataFrame:
@@ -62,12 +67,14 @@ def profiles(docs: DataFrame, k: int, t: tuple[int, int], freq) -> DataFrame:
     def run(batches):
         est = freq.value
         for b, i, sets in _each(batches, k):
-            sig, pre, prefix = [], [], []
+            sig, pre, prefix, bits = [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
-                    sig.append(None), pre.append(None), prefix.append(None)
+                    sig.append(None), pre.append(None), prefix.append(None), bits.append(None)
                     continue
+                odd = np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 p = n - -(-num * n // den) + 1
                 f = est[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 # s is sorted, so a stable sort by frequency leaves ties in hash order
@@ -76,13 +83,15 @@ def profiles(docs: DataFrame, k: int, t: tuple[int, int], freq) -> DataFrame:
                 pre.append(hashlib.blake2b(own, digest_size=16).digest())
                 prefix.append(own)
             ids = b.column(0).slice(i, len(sets))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "sig", "pre", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pre", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, pre binary, prefix binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, sig binary, pre binary, prefix binary, bits array<bigint>")
 
 
-def shared_shingles(groups: DataFrame, buckets: int, freq) -> DataFrame:
-    """(token, gid, n, pos): prefix shingles that two groups share at least."""
+def shared_shingles(groups: DataFrame, buckets: int, freq, t: tuple[int, int]) -> DataFrame:
+    """(token, gid, n, pos, pivot): prefix shingles that two groups share at least; pivot is the first
+    group of the shingle and size band that may link with the row's."""
+    num, den = t
     names = ["bucket", "token", "gid", "n", "pos"]
 
     def send(batches):
@@ -108,7 +117,7 @@ def shared_shingles(groups: DataFrame, buckets: int, freq) -> DataFrame:
                 s = np.frombuffer(raw, np.uint64)
                 token.append(s), gid.append(np.full(len(s), g)), n.append(np.full(len(s), m, np.int32)), pos.append(np.arange(len(s), dtype=np.int32))
                 held += len(s)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield flush()
                 token, gid, n, pos, held = [], [], [], [], 0
         if held:
@@ -125,55 +134,85 @@ def shared_shingles(groups: DataFrame, buckets: int, freq) -> DataFrame:
         run = np.cumsum(new) - 1
         live = (np.bincount(run)[run] > 1) | (key[0] < 0)
         order = order[live]
-        cols = {"token": token[live].astype(np.int64)}
-        for c, kind in (("gid", np.int64), ("n", np.int32), ("pos", np.int32)):
-            cols[c] = np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])[order]
-        return pd.DataFrame(cols)
-
-    packed = groups.select("gid", "n", "prefix").mapInArrow(send, "bucket long, token binary, gid binary, n binary, pos binary")
-    return packed.groupBy("bucket").applyInPandas(keep, "token long, gid long, n int, pos int")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets have the similarity. Only texts of classes in pairs are
-    read again: a sketch of their ids, of bounded size, drops the others before any shuffle."""
+        gid, n, pos = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])[order] for c, kind in (("gid", np.int64), ("n", np.int32), ("pos", np.int32)))
+        token = token[live]
+        band = np.floor(np.log(n) / math.log(den / num)).astype(np.int64)
+        o = np.lexsort((gid, band, token))
+        first = np.ones(len(o), bool)
+        first[1:] = (token[o][1:] != token[o][:-1]) | (band[o][1:] != band[o][:-1])
+        head = np.empty(len(o), np.int64)
+        head[o] = o[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        size, lead = n.astype(np.int64), n.astype(np.int64)[head]
+        fits = (gid != gid[head]) & (np.minimum(size, lead) * den >= np.maximum(size, lead) * num)
+        fits &= np.minimum(size - pos, lead - pos[head]) * (num + den) >= (size + lead) * num
+        return pd.DataFrame({"token": token.astype(np.int64), "gid": gid, "n": n, "pos": pos, "pivot": pd.arrays.IntegerArray(gid[head], ~fits)})
+
+    packed = groups.select("gid", "n", "prefix").mapInArrow(frugal(send), "bucket long, token binary, gid binary, n binary, pos binary")
+    return packed.groupBy("bucket").applyInPandas(frugal_group(keep), "token long, gid long, n int, pos int, pivot long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of class ids whose sets have the similarity, and their number. Only texts of classes in
+    pairs are read again, and travel compressed: a sketch of their ids, of bounded size, drops the
+    others before any shuffle."""
     spark = docs.sparkSession
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes, "cid").select("cid", "doc", "sig")
+    x = classes.select(F.col("cid").alias("a"), F.col("doc").alias("da"), F.col("sig").alias("ga"))
+    y = classes.select(F.col("cid").alias("b"), F.col("doc").alias("db"), F.col("sig").alias("gb"))
+    pairs = scratch.keep(pairs.join(x, "a").join(y, "b"))
 
     def mark(batches):
         c = Counters()
         for b in batches:
-            c.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            for col in b.columns:
+                c.add(col.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         yield c.rows()
 
-    seen = merge_counters(needed.select(F.xxhash64("doc").alias("h")).mapInArrow(mark, "part int, counts binary")) > 0
-    bits = spark.sparkContext.broadcast(np.packbits(seen))
+    hashes = pairs.select(F.xxhash64("da").alias("x"), F.xxhash64("db").alias("y"))
+    bits = spark.sparkContext.broadcast(np.packbits(merge_counters(hashes.mapInArrow(frugal(mark), "part int, counts binary")) > 0))
     num, den = t
 
-    def sets(batches):
+    def texts(batches):
         flags = np.unpackbits(bits.value).astype(bool)
+        press = zstandard.ZstdCompressor(3)
         for b in batches:
             h = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             own = b.filter(pa.array(flags[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))
             for _, i, got in _each([own], k):
-                full = [(d, s.tobytes()) for d, s in zip(own.column(0).slice(i, len(got)).to_pylist(), got) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in full], pa.int64()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for _, s in full], pa.binary()), pa.array([s for _, s in full], pa.binary())], ["doc", "sig", "s"])
-
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(sets, "doc long, sig binary, s binary")
-    found = needed.join(found, ["doc", "sig"]).groupBy("cid").agg(F.first("s").alias("s"))
+                live = [j for j, s in enumerate(got) if len(s)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([own.column(0)[i + j].as_py() for j in live], pa.int64()), pa.array([hashlib.blake2b(got[j].tobytes(), digest_size=16).digest() for j in live], pa.binary()),
+                    pa.array([press.compress(own.column(1)[i + j].as_py().encode()) for j in live], pa.binary()),
+                ], ["doc", "sig", "z"])
+
+    found = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(frugal(texts), "doc long, sig binary, z binary")
+    found = scratch.keep(found)
+
+    def unpacked(col):
+        """The set of each distinct text of a column, and where each row's is."""
+        open_ = zstandard.ZstdDecompressor()
+        kinds = col.dictionary_encode()
+        raw = pa.array([open_.decompress(z.as_py()).decode() for z in kinds.dictionary], pa.string())
+        return [s for _, _, data, off in slices(raw) for s in shingle_sets(*words(data, off), k)], kinds.indices.to_pylist()
 
     def judge(batches):
         for b in batches:
+            (xs, xi), (ys, yi) = unpacked(b.column(2)), unpacked(b.column(3))
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, j in zip(xi, yi):
+                x, y = xs[i], ys[j]
                 both = np.sort(np.concatenate([x, y]))
                 inter = int((both[1:] == both[:-1]).sum())
                 ok.append(den * inter >= num * (len(x) + len(y) - inter))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(found.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    sa = found.select(F.col("doc").alias("da"), F.col("sig").alias("ga"), F.col("z").alias("za"))
+    sb = found.select(F.col("doc").alias("db"), F.col("sig").alias("gb"), F.col("z").alias("zb"))
+    full = pairs.join(sa, ["da", "ga"]).select("a", "b", "za", "db", "gb").join(sb, ["db", "gb"]).select("a", "b", "za", "zb")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "500"):
+        out = scratch.keep(full.mapInArrow(frugal(judge), "a long, b long").distinct())
+        n = out.count()
+    scratch.drop(found, pairs)
+    return out, n
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -182,64 +221,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     freq = spark.sparkContext.broadcast(frequencies(docs, k))
-    seen = scratch.write(profiles(docs, k, threshold, freq), "profiles")
-    part = seen.where("n > 0 and doc_id is not null")
-    groups = scratch.write(part.groupBy("n", "pre").agg(F.first("prefix").alias("prefix")).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    slim = part.groupBy("sig", "n", "pre").agg(F.min("doc_id").alias("doc")).withColumn("cid", F.monotonically_increasing_id())
-    classes = scratch.write(slim, "classes0")
-    classes = scratch.write(classes.join(groups.select("n", "pre", "gid"), ["n", "pre"]).select("cid", "gid", "sig", "doc"), "classes")
-    size = groups.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
-    runs = scratch.write(shared_shingles(groups, max(64, math.ceil(size / BUCKET)), freq), "shared")
+    full = scratch.write(profiles(docs, k, threshold, freq), "profiles")
+    part = full.where("n > 0 and doc_id is not null")
+    gid = F.xxhash64("n", "pre")  # groups that share a number are only expanded together
+    own = part.groupBy("sig", "n", "pre").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"))
+    classes = scratch.write(own.select(F.monotonically_increasing_id().alias("cid"), gid.alias("gid"), "n", "sig", "doc", "bits"), "classes")
+    n_classes = classes.count()
+    size = part.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    groups = part.groupBy("n", "pre").agg(F.first("prefix").alias("prefix")).select(gid.alias("gid"), "n", "prefix")
+    runs = scratch.write(shared_shingles(groups, max(64, math.ceil(size / BUCKET)), freq, threshold), "shared")
+    seen = scratch.write(full.select("doc_id", "n", "sig"), "documents")
+    scratch.drop(full)
 
     def may_link(a: str, b: str):
-        na, nb, pa_, pb = (F.col(f"{x}.{c}").cast("long") for c in ("n", "pos") for x in (a, b))
-        fits = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num)
-        return fits
-
-    def expand(pairs: DataFrame, more: str | None = None) -> DataFrame:
-        """Pairs of groups to pairs of classes, the smaller id first."""
-        cols = ["cid", "gid"] + (["root"] if more else [])
-        x = own.select(*[F.col(c).alias(f"x{c}") for c in cols])
-        y = own.select(*[F.col(c).alias(f"y{c}") for c in cols])
-        out = pairs.join(x, F.col("ga") == F.col("xgid")).join(y, F.col("gb") == F.col("ygid"))
-        out = out.where(more) if more else out
-        return out.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b"))
-
-    # first round: a pivot for each shingle and size band, and for each group of several classes
-    own = classes
-    band = F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int")
-    r = runs.withColumn("band", band)
-    pivot = r.groupBy("token", "band").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
-    star = r.alias("r").join(pivot, ["token", "band"]).where((F.col("r.gid") != F.col("p.gid")) & may_link("r", "p"))
-    star = star.select(F.col("p.gid").alias("ga"), F.col("r.gid").alias("gb")).distinct()
-    head = classes.groupBy("gid").agg(F.min("cid").alias("a"), F.count("*").alias("c")).where("c > 1").select("gid", "a")
-    inside = classes.join(head, "gid").where("cid != a").select("a", F.col("cid").alias("b"))
-    first = scratch.write(expand(star).union(inside).distinct(), "pairs")
-    links = scratch.write(verify(docs, first, classes, k, threshold), "links")
-    roots = scratch.write(connected_components(links, scratch), "roots")
-
-    # second round: whatever lies in different components
-    own = scratch.write(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
-    span = own.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    r = runs.join(span, "gid")
-    torn = r.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-    r = scratch.write(r.join(torn, "token"), "torn")
-    index = F.col("u.pos") * (num + den) <= F.col("u.n") * (den - num)  # beyond it the smaller set has no first common shingle
-    bigger = (F.col("v.n") > F.col("u.n")) | ((F.col("v.n") == F.col("u.n")) & (F.col("v.gid") > F.col("u.gid")))
-    apart = ~((F.col("u.lo") == F.col("u.hi")) & (F.col("v.lo") == F.col("v.hi")) & (F.col("u.lo") == F.col("v.lo")))
-    cross = r.where(F.col("pos") * (num + den) <= F.col("n") * (den - num)).alias("u").join(r.alias("v"), (F.col("u.token") == F.col("v.token")) & bigger & index & may_link("u", "v") & apart)
-    cross = cross.select(F.col("u.gid").alias("ga"), F.col("v.gid").alias("gb")).distinct()
-    mixed = span.where("lo < hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    second = expand(cross.union(mixed), "xroot != yroot").distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.write(second, "pairs2")
-    if second.limit(1).count():
-        links = links.union(scratch.write(verify(docs, second, classes, k, threshold), "links2"))
-        roots = scratch.write(connected_components(links, scratch), "roots2")
+        """Size and position: at its first common shingle a linked pair has room for the overlap it needs."""
+        na, nb, i, j = (F.col(f"{x}.{c}").cast("long") for c in ("n", "pos") for x in (a, b))
+        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(na - i, nb - j) * (num + den) >= (na + nb) * num)
+
+    def near(a: str, b: str):
+        """Bits in which two parity maps differ are at most the shingles that only one set has."""
+        apart = sum((F.bit_count(F.col(f"{a}.bits")[w].bitwiseXOR(F.col(f"{b}.bits")[w])) for w in range(PARITY // 64)), F.lit(0))
+        n = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n").cast("long")
+        return apart * (num + den) <= n * (den - num)
+
+    roots = None
+
+    def rooted() -> DataFrame:
+        """classes with the root of their component so far."""
+        if roots is None:
+            return classes.withColumn("root", F.col("cid"))
+        return classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    def grow(pairs: DataFrame):
+        """Roots after the links among pairs; the new links are taken between the roots so far."""
+        links, n = verify(docs, pairs, classes, k, threshold, scratch)
+        if roots is None:
+            new = scratch.write(connected_components(links, scratch, rows=n), "roots", 2 * n)
+        else:
+            own = rooted().select("cid", "root")
+            e = links.join(own.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(own.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
+            up = connected_components(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, rows=n).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            new = scratch.write(own.join(up, "root", "left").select(F.col("cid").alias("node"), F.coalesce("top", "root").alias("root")), "roots", n_classes)
+        scratch.drop(links)
+        return new
+
+    def expand(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """Pairs of groups, and pairs within groups, to pairs of classes in different components."""
+        x, y = own.alias("x"), own.alias("y")
+        across = pairs.join(x, F.col("ga") == F.col("x.gid")).join(y, F.col("gb") == F.col("y.gid")).where("x.root <> y.root").select("x.cid", F.col("y.cid").alias("c"))
+        head = own.groupBy("gid").agg(F.min(F.struct("cid", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid", "p")
+        inside = own.join(head, "gid").where("root <> p.root").select("p.cid", F.col("cid").alias("c"))
+        return across.union(inside).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+
+    def torn(live: DataFrame) -> DataFrame:
+        """Rows (token, gid, n, pos, lo, hi) of the shingles whose groups lie in several components."""
+        span = rooted().groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        r = live.select("token", "gid", "n", "pos").join(span, "gid")
+        several = r.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
+        return scratch.write(r.join(several, "token"), "torn", live.count())
+
+    # first round: the pivots that the buckets found
+    roots = grow(expand(runs.where("pivot is not null").select(F.col("pivot").alias("ga"), F.col("gid").alias("gb")).distinct(), rooted().select("cid", "gid", "root")))
+    live = torn(runs)
+    scratch.drop(runs)
+    scratch.sweep()
+    for step in range(1, ROUNDS):
+        # another pivot for each shingle and size band
+        r = live.withColumns({"band": F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int"), "h": F.xxhash64("gid", F.lit(step))})
+        pivot = r.groupBy("token", "band").agg(F.min(F.struct("h", "gid", "n", "pos", "lo", "hi")).alias("p"), F.min("lo").alias("l"), F.max("hi").alias("m")).where("l < m").select("token", "band", "p")
+        one = (F.col("r.lo") == F.col("r.hi")) & (F.col("p.lo") == F.col("p.hi")) & (F.col("r.lo") == F.col("p.lo"))
+        star = r.alias("r").join(pivot, ["token", "band"]).where((F.col("r.gid") != F.col("p.gid")) & ~one & may_link("r", "p"))
+        star = star.select(F.col("p.gid").alias("ga"), F.col("r.gid").alias("gb")).distinct()
+        roots = grow(expand(star, rooted().select("cid", "gid", "root")))
+        live = torn(live)
+        scratch.sweep()
+
+    # the rest, exactly: every pair that still lies in different components
+    own = rooted().select("gid", "cid", "n", "root", "bits")
+    # where two prefixes also agree in their last shared shingle before this one, the pair is met there
+    before = F.lag("token").over(W.partitionBy("gid").orderBy("pos"))
+    r = scratch.write(live.select("token", "gid", "pos", before.alias("before")).join(own, "gid"), "rest", live.count())
+    # beyond this position the smaller set has no first common shingle
+    index = r.where(F.col("pos") * (num + den) <= F.col("n") * (den - num))
+    bigger = (F.col("v.n") > F.col("u.n")) | ((F.col("v.n") == F.col("u.n")) & (F.col("v.cid") > F.col("u.cid")))
+    cross = index.alias("u").join(r.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.root") != F.col("v.root")) & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False)) & bigger & may_link("u", "v") & near("u", "v"))
+    cross = cross.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
+    roots = grow(cross)
 
     final = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "doc", F.coalesce("root", "cid").alias("root"))
     least = final.groupBy("root").agg(F.min("doc").alias("least"))
     named = final.join(least, "root").select("sig", "least")
-    out = seen.select("doc_id", "n", "sig").join(named, "sig", "left")
+    out = seen.join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
