@@ -83,7 +83,7 @@ def fixed_chunks(c, size: int) -> Column:
     return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c), F.lit(size)), lambda p: F.substr(c, p, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def esol_bin(v: Column) -> Column:
+def value_bin(v: Column) -> Column:
     """Tenths of the value clipped to [0, 1]; the last is closed."""
     return F.least(F.floor(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)) * 10), F.lit(9)).cast("int")
 

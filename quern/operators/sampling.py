@@ -93,7 +93,7 @@ def budget_batches(df: DataFrame, key: str, length: str, budget: int, extra: int
     return d.mapInPandas(run, f"{key} {kinds[key]}, {length} {kinds[length]}, shard int, batch long")
 
 
-def multitask_loss(preds: DataFrame, task: str = "task", regression: str = "esol", beta: float = 1.0) -> DataFrame:
+def multitask_loss(preds: DataFrame, task: str = "task", regression: str = "regression", beta: float = 1.0) -> DataFrame:
     """Mean over tasks of their mean losses: Huber for the regression task, log loss otherwise."""
     l = F.when(F.col(task) == regression, smooth_l1(F.col("score"), F.col("target"), beta)).otherwise(bce_with_logits(F.col("score"), F.col("target")))
     return preds.groupBy(task).agg(F.avg(l).alias("loss")).agg(F.avg("loss").alias("loss"))

@@ -337,10 +337,10 @@ def permuted_batches(spark, d):
     return S.length_batches(obs(spark, d), "n", 16, 10, 1, "doc_id").select("doc_id", "n", "shard", "batch")
 
 
-@query(f"WITH {PRED}, t AS (SELECT CASE WHEN run = 'r3' THEN 'esol' ELSE run END AS task, score AS s, CASE WHEN run = 'r3' THEN y ELSE target END AS t FROM pred), l AS (SELECT task, avg(CASE WHEN task = 'esol' THEN CASE WHEN abs(s - t) < 0.1e0 THEN 0.5e0 * pow(s - t, 2) / 0.1e0 ELSE abs(s - t) - 0.05e0 END ELSE greatest(s, 0) + ln(1 + exp(-abs(s))) - s * t END) AS l FROM t GROUP BY task) SELECT round(avg(l), 6) AS loss FROM l")
+@query(f"WITH {PRED}, t AS (SELECT CASE WHEN run = 'r3' THEN 'regression' ELSE run END AS task, score AS s, CASE WHEN run = 'r3' THEN y ELSE target END AS t FROM pred), l AS (SELECT task, avg(CASE WHEN task = 'regression' THEN CASE WHEN abs(s - t) < 0.1e0 THEN 0.5e0 * pow(s - t, 2) / 0.1e0 ELSE abs(s - t) - 0.05e0 END ELSE greatest(s, 0) + ln(1 + exp(-abs(s))) - s * t END) AS l FROM t GROUP BY task) SELECT round(avg(l), 6) AS loss FROM l")
 def multitask_loss(spark, d):
     """Losses: Huber and log loss by task, averaged."""
-    p = preds(spark, d).withColumns({"task": F.when(F.col("run") == "r3", "esol").otherwise(F.col("run")), "target": F.when(F.col("run") == "r3", F.col("y")).otherwise(F.col("target"))})
+    p = preds(spark, d).withColumns({"task": F.when(F.col("run") == "r3", "regression").otherwise(F.col("run")), "target": F.when(F.col("run") == "r3", F.col("y")).otherwise(F.col("target"))})
     return S.multitask_loss(p, beta=0.1).select(*r6(loss="loss"))
 
 

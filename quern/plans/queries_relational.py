@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import esol_bin, fixed_chunks, sequence_hash, stable_tiebreak
+from quern.functions.scalar import value_bin, fixed_chunks, sequence_hash, stable_tiebreak
 from quern.operators import audit, features, manifest, resume, sampling
 from quern.operators.identity import parse_shards
 from quern.operators.prefix import number_by_hash, running_sums
@@ -147,7 +147,7 @@ def count_rollup(spark, d):
     return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-FEATURES = UNION + ", c AS (SELECT substr(sequence_sha256, 1, 2) AS component, * FROM u), f AS (SELECT component, unnest(list_filter([ 'observations', 'source:' || source_dataset, CASE WHEN target_kind = 'binary' THEN 'binary:' || source_dataset || ':' || target_value::INT END, CASE WHEN target_kind = 'continuous' THEN 'esol_bin:' || least(floor(greatest(least(target_value, 1), 0) * 10), 9)::INT END], lambda x: x IS NOT NULL)) AS feature FROM c), g AS (SELECT component, feature, count(*) AS value FROM f GROUP BY 1, 2 UNION ALL SELECT component, 'entities', count(DISTINCT sequence_sha256) FROM c GROUP BY 1)"
+FEATURES = UNION + ", c AS (SELECT substr(sequence_sha256, 1, 2) AS component, * FROM u), f AS (SELECT component, unnest(list_filter([ 'observations', 'source:' || source_dataset, CASE WHEN target_kind = 'binary' THEN 'binary:' || source_dataset || ':' || target_value::INT END, CASE WHEN target_kind = 'continuous' THEN 'value_bin:' || least(floor(greatest(least(target_value, 1), 0) * 10), 9)::INT END], lambda x: x IS NOT NULL)) AS feature FROM c), g AS (SELECT component, feature, count(*) AS value FROM f GROUP BY 1, 2 UNION ALL SELECT component, 'entities', count(DISTINCT sequence_sha256) FROM c GROUP BY 1)"
 
 
 def component_features(spark, d):
@@ -378,7 +378,7 @@ def fixed_chunks_query(spark, d):
 @query("SELECT c_custkey, substr(sha256('20260828:' || c_name || ':train'), 1, 16) AS tie, least(floor(greatest(least(c_acctbal / 10000, 1), 0) * 10), 9)::INT AS bin FROM customer")
 def stable_tiebreaks(spark, d):
     """Stable tie-break digests and tenths of a clipped value."""
-    return table(spark, d, "customer").select("c_custkey", stable_tiebreak(20260828, F.col("c_name"), F.lit("train")).alias("tie"), esol_bin(F.col("c_acctbal") / 10000).alias("bin"))
+    return table(spark, d, "customer").select("c_custkey", stable_tiebreak(20260828, F.col("c_name"), F.lit("train")).alias("tie"), value_bin(F.col("c_acctbal") / 10000).alias("bin"))
 
 
 @query("SELECT event_id, (props->>'k')::INT AS k, date_trunc('day', ts) AS day FROM events")

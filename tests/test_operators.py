@@ -124,9 +124,9 @@ def test_orientation_of_objectives(spark):
 
 
 def test_sampling_masses(spark):
-    d = spark.createDataFrame([(1, "esol"), (1, "esol"), (2, "esol"), (1, "pdbsol"), (3, "pdbsol")], "entity long, task string")
+    d = spark.createDataFrame([(1, "one"), (1, "one"), (2, "one"), (1, "two"), (3, "two")], "entity long, task string")
     mass = {x["task"]: x["m"] for x in sampling.task_entity_weights(d).groupBy("task").agg(F.sum("weight").alias("m")).collect()}
-    assert mass == pytest.approx({"esol": 1.0, "pdbsol": 1.0})
+    assert mass == pytest.approx({"one": 1.0, "two": 1.0})
     c = spark.createDataFrame(list(zip([0, 0, 0, 0, 1, 1], [10, 10, 10, 11, 20, 21])), "label int, entity long")
     w = sampling.class_entity_weights(c)
     assert [x[0] for x in w.groupBy("label").agg(F.sum("weight")).select("sum(weight)").collect()] == pytest.approx([1.0, 1.0])
@@ -332,3 +332,25 @@ def test_streaming_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("b", 9), ("c", 3)], schema).write.mode("append").parquet(src)
     assert ingest.ingest(spark, src, schema, store, ck) == 3
     assert ingest.ingest(spark, src, schema, store, ck) == 3
+
+
+def test_search_modes_and_simplex_weights(spark):
+    r = random.Random(12)
+    rows = [(k, y, y + r.gauss(0, 2), y + r.gauss(0, 1), r.random()) for k in range(60) for y in [float(r.randrange(2))]]
+    d = spark.createDataFrame(rows, "entity_idx long, target double, a double, b double, c double").cache()
+    w, best = ensemble.coordinate_ascent(d, "a", ["b", "c"], "auroc", np.linspace(0, 0.4, 5), sweeps=1, mode="rescale", start=[0.2, 0.1])
+    assert 0 <= sum(w) <= 1 and best >= M.auroc(d.withColumn("score", 0.7 * F.col("a") + 0.2 * F.col("b") + 0.1 * F.col("c")), []).first()["auroc"]
+    s = ensemble.simplex_weights(d, ["a", "b", "c"], rounds=20)
+    assert s.sum() == pytest.approx(1) and (s >= 0).all() and s.argmax() == 1
+
+
+def test_message_layer_ignores_invalid_slots(spark):
+    from quern.operators import fusion
+
+    v = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.0), (1, 2, -1.0)], "e int, pos long, v double")
+    n = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 2, 4.0)], "e int, i long, j long, dist double")
+    more = n.union(spark.createDataFrame([(1, 0, 1, 0.0), (1, 0, 1, 99.0)], n.schema))
+    a, b = (sorted(tuple(x) for x in fusion.message_layer(m, v, "e", "v").collect()) for m in (n, more))
+    assert a == b
+    w = [math.exp(-0.25), math.exp(-1.0)]
+    assert a[0][2] == pytest.approx(0.5 + math.tanh((w[0] - w[1]) / sum(w))) and a[1][2] == 1.0
