@@ -48,7 +48,7 @@ def test_search_against_brute_force(spark, monkeypatch):
 
 
 def test_search_small(spark):
-    ids, x = clusters(1, 12)
+    ids, x = clusters(1)
     d = frame(spark, ids[:5], x[:5])
     got = ann.search(d, F.col("vec_id") == 0, k=20).collect()
     assert [r["rank"] for r in got] == [1, 2, 3, 4]
