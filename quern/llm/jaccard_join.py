@@ -8,9 +8,9 @@ Copies with equal sets are one class. Classes of equal size and equal prefix are
 prefix is looked up once. Pairs of groups that share a prefix shingle are filtered by size and position and
 expanded to their classes, pairs of classes by parity maps of their sets (exact bounds all three), and
 each candidate is verified on its whole sets. Candidates are taken in rounds so that a big group of near
-copies never gives all its pairs: first a pivot of each shingle and size band against the others in
-other components, several times; then, exactly, all pairs of a shingle that still lie in different
-components. A pair that is never verified thus lies within one component already, and components are
+copies never gives all its pairs: first a pivot of each shingle and size band, and a head of each group,
+against the others in other components, several times; then, exactly, all pairs of a shingle or within a
+group that still lie in different components. A pair that is never verified thus lies within one component already, and components are
 those of the complete link graph.
 
 Rows in Spark are shingles shared by two groups at least; shingles of a single group are dropped in
@@ -265,11 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(links)
         return new
 
-    def expand(pairs: DataFrame, own: DataFrame) -> DataFrame:
-        """Pairs of groups, and pairs within groups, to pairs of classes in different components."""
+    def expand(pairs: DataFrame, own: DataFrame, step: int) -> DataFrame:
+        """Pairs of groups, and of each group's head (of another component in each step) with its others, to
+        pairs of classes in different components."""
         x, y = own.alias("x"), own.alias("y")
         across = pairs.join(x, F.col("ga") == F.col("x.gid")).join(y, F.col("gb") == F.col("y.gid")).where("x.root <> y.root").select("x.cid", F.col("y.cid").alias("c"))
-        head = own.groupBy("gid").agg(F.min(F.struct("cid", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid", "p")
+        head = own.groupBy("gid").agg(F.min(F.struct(F.xxhash64("root", F.lit(step)).alias("h"), "cid", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid", "p")
         inside = own.join(head, "gid").where("root <> p.root").select("p.cid", F.col("cid").alias("c"))
         return across.union(inside).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
 
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return scratch.write(r.join(several, "token"), "torn", live.count())
 
     # first round: the pivots that the buckets found
-    roots = grow(expand(runs.where("pivot is not null").select(F.col("pivot").alias("ga"), F.col("gid").alias("gb")).distinct(), rooted().select("cid", "gid", "root")))
+    roots = grow(expand(runs.where("pivot is not null").select(F.col("pivot").alias("ga"), F.col("gid").alias("gb")).distinct(), rooted().select("cid", "gid", "root"), 0))
     live = torn(runs)
     scratch.drop(runs)
     scratch.sweep()
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = (F.col("r.lo") == F.col("r.hi")) & (F.col("p.lo") == F.col("p.hi")) & (F.col("r.lo") == F.col("p.lo"))
         star = r.alias("r").join(pivot, ["token", "band"]).where((F.col("r.gid") != F.col("p.gid")) & ~one & may_link("r", "p"))
         star = star.select(F.col("p.gid").alias("ga"), F.col("r.gid").alias("gb")).distinct()
-        roots = grow(expand(star, rooted().select("cid", "gid", "root")))
+        roots = grow(expand(star, rooted().select("cid", "gid", "root"), step))
         live = torn(live)
         scratch.sweep()
 
@@ -304,9 +305,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # beyond this position the smaller set has no first common shingle
     index = r.where(F.col("pos") * (num + den) <= F.col("n") * (den - num))
     bigger = (F.col("v.n") > F.col("u.n")) | ((F.col("v.n") == F.col("u.n")) & (F.col("v.cid") > F.col("u.cid")))
-    cross = index.alias("u").join(r.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.root") != F.col("v.root")) & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False)) & bigger & may_link("u", "v") & near("u", "v"))
-    cross = cross.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
-    roots = grow(cross)
+    cross = index.alias("u").join(r.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.gid") != F.col("v.gid")) & (F.col("u.root") != F.col("v.root")) & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False)) & bigger & may_link("u", "v") & near("u", "v"))
+    # a group's classes share their whole prefix, which other groups need not share
+    several = own.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
+    inner = own.join(several, "gid")
+    within = inner.alias("u").join(inner.alias("v"), (F.col("u.gid") == F.col("v.gid")) & (F.col("u.cid") < F.col("v.cid")) & (F.col("u.root") != F.col("v.root")) & near("u", "v"))
+    both = cross.select("u.cid", F.col("v.cid").alias("c")).union(within.select("u.cid", F.col("v.cid").alias("c")))
+    roots = grow(both.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct())
 
     final = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "doc", F.coalesce("root", "cid").alias("root"))
     least = final.groupBy("root").agg(F.min("doc").alias("least"))

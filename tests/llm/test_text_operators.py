@@ -100,6 +100,31 @@ def test_jaccard_join_hot_path_and_bounds(spark, monkeypatch):
     assert jaccard_join.near_duplicates(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
+def one_group(r, tag):
+    """Two linked pairs of one size and prefix (the words of rare), no link between the pairs; and documents
+    that make all their other shingles frequent."""
+    rare = [f"{tag}r{k}" for k in range(15)]
+    docs, others = [], []
+    for x in "ab":
+        tail = [f"{tag}{x}{k}" for k in range(28)]
+        for y in "uv":
+            docs.append(" ".join(rare + tail + [tag + x + y]))
+            others += [" ".join(rare[-4:] + tail + [tag + x + y] + [f"{tag}f{r.random()}" for _ in range(60)]) for _ in range(8)]
+    return docs, others, rare
+
+
+@pytest.mark.parametrize("shared", [None, 0, 10])
+def test_jaccard_join_links_within_a_group(spark, shared):
+    r = random.Random(6)
+    docs, others, rare = one_group(r, "g")
+    if shared is not None:  # a shingle of the prefix that other groups share
+        others += [" ".join(rare[shared : shared + 5] + [f"s{r.random()}" for _ in range(40)])]
+    rows = list(enumerate(docs + others))
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert Counter(tuple(x) for x in got) == Counter(brute_components(rows))
+    assert [c for i, _, c in sorted(tuple(x) for x in got) if i < 4] == [0, 0, 2, 2]
+
+
 def test_keep_one(spark):
     rows = corpus(3, 60)
     kept = jaccard_join.keep_one(frame(spark, rows + [(None, "one two")]))
