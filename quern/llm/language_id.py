@@ -7,6 +7,11 @@ Nystroem landmarks. The kernel is linear in the presence vectors, so the landmar
 matrix of n-grams by languages, of bounded size, and a batch of presence vectors is scored by its
 product with that matrix. Whole texts are read, by the slice; n-grams are hashed to 2**16 a length.
 
+keep_known also asks how many of a text's n-grams the landmarks hold. A text goes where that share is
+under KNOWN, or under SURE while no language's own classifier accepts the text (score under 0.5). Both
+bounds fall to SLACK of the share that all but 1 % of a language's labelled held-out texts reach, so
+where little was learned clean texts stay; a language without such texts has no bound.
+
 Bounds: TRAIN labelled rows, as many of each language as of another where there are so many, chosen
 by the hash of their id; LANDMARKS of them; MAX_LANGS languages (more raise).
 
@@ -27,6 +32,7 @@ from quern.llm.textcore import LOWER, frugal, slices, tidy
 
 TRAIN, LANDMARKS, MAX_LANGS = 1600, 240, 64
 RIDGE = 1e-3
+KNOWN, SURE, SLACK = 0.55, 0.75, 0.9
 ORDERS = (2, 3, 4)
 WIDTH = 1 << 16
 DIM = WIDTH * len(ORDERS)
@@ -113,15 +119,23 @@ def held(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int) -> tuple[list[str], np.ndarray]:
-    part = docs.where(~held(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
+def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int) -> DataFrame | None:
+    """(rank, language, text): about train labelled rows, as many of each language; None where there are none."""
+    part = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
     counts = {r["l"]: r["count"] for r in part.groupBy("l").count().limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
-        return [], np.zeros((DIM, 0), np.float32)
+        return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, train / len(counts) / n)))])
     rank = F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    return part.select(rank.alias("r"), "l", "t").where(F.col("r") < F.element_at(share, F.col("l")))
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int) -> tuple[list[str], np.ndarray]:
+    sample = labelled(docs.where(~held(id_col)), id_col, text_col, lang_col, train)
+    if sample is None:
+        return [], np.zeros((DIM, 0), np.float32)
 
     def run(batches):
         for b in batches:
@@ -129,7 +143,6 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int
                 keep = [k for k in range(len(sets)) if has[k]]
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i + k].as_py() for k in keep], pa.float64()), pa.array([b.column(1)[i + k].as_py() for k in keep], pa.string()), pa.array([sets[k].astype(np.int32).tobytes() for k in keep], pa.binary())], ["r", "l", "s"])
 
-    sample = part.select(rank.alias("r"), "l", "t").where(F.col("r") < F.element_at(share, F.col("l")))
     got = sample.mapInArrow(frugal(run), "r double, l string, s binary").orderBy("r", "l", "s").limit(2 * train + 100).collect()
     if not got:
         return [], np.zeros((DIM, 0), np.float32)
@@ -154,18 +167,47 @@ def predict(sets, has, names, matrix) -> tuple[list[str], np.ndarray]:
     return pred, np.where(known, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), 0.0)
 
 
+def known_share(sets, seen: np.ndarray) -> np.ndarray:
+    """The share of each text's n-grams that are seen; 1 for a text too short to have one."""
+    return np.array([seen[s].mean() if len(s) else 1.0 for s in sets])
+
+
+def reach(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int, names, shared) -> dict[str, float]:
+    """The share of known n-grams that all but 1 % of the labelled held-out texts reach, by language."""
+    sample = labelled(docs.where(held(id_col)), id_col, text_col, lang_col, train) if names else None
+    if sample is None:
+        return {}
+
+    def run(batches):
+        seen = shared.value.any(1)
+        for b in batches:
+            for i, sets, has in presence(b.column(2)):
+                own = b.slice(i, len(sets))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(known_share(sets, seen))], ["r", "l", "s"]).filter(pa.array(has, pa.bool_()))
+
+    got = sample.mapInArrow(frugal(run), "r double, l string, s double").orderBy("r", "l", "s").limit(2 * train + 100).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["l"], []).append(r["s"])
+    return {k: float(np.quantile(v, 0.01)) for k, v in by.items()}
+
+
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """docs whose text has a language at a score of least or more."""
+    """docs whose text has a language at a score of least or more, and enough known n-grams."""
     names, matrix = learn(docs, id_col, text_col, lang_col, TRAIN)
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    clean = reach(docs, id_col, text_col, lang_col, TRAIN, names, shared)
     at = docs.columns.index(text_col)
 
     def run(batches):
+        seen = shared.value.any(1)
         for b in batches:
             ok = []
             for _, sets, has in presence(b.column(at)):
                 pred, score = predict(sets, has, names, shared.value)
-                ok += [p != "und" and s >= least for p, s in zip(pred, score)]
+                for p, s, k in zip(pred, score, known_share(sets, seen)):
+                    bound = min(SURE if s < 0.5 else KNOWN, SLACK * clean.get(p, 0.0))
+                    ok.append(bool(p != "und" and s >= least and k >= bound))
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(frugal(run), docs.schema)

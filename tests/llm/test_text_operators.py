@@ -1,3 +1,4 @@
+import base64
 import math
 import random
 import zlib
@@ -203,6 +204,22 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(d.withColumn("lang", d["lang"].substr(9, 1)).where("lang is null")).collect()} == {"und"}
 
 
+def test_keep_known_rejects_foreign_and_junk_texts(spark):
+    r = random.Random(12)
+    clean = language_rows()
+    junk = [
+        *("".join(r.choices("asdfghjklqwertyuiop; ", k=n)) for n in (40, 400, 4000)),
+        *(base64.b64encode(r.randbytes(n)).decode() for n in (40, 4000)),
+        r.randbytes(300).hex(),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    ]
+    rows = clean + [(5000 + k, t, None) for k, t in enumerate(junk)]
+    kept = language_id.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [i for i, _, _ in clean]
+
+
 def test_language_kernel_is_the_blended_spectrum():
     _, sets, has = next(language_id.presence(pa.array(["abab", "ABABA", "a"])))
     assert len(sets[0]) == 2 + 2 + 1 and set(sets[0]) <= set(sets[1]) and len(sets[2]) == 0 and has == [True] * 3
