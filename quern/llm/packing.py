@@ -4,8 +4,8 @@ Each task takes its documents in groups of GROUP_TOKENS tokens. Whole windows ar
 documents; what remains of each document is an item. Items are divided into windows of near-equal
 sums by largest differencing: of all partial partitions, the two with the largest spread are merged,
 the fullest window of one with the emptiest of the other, until one is left. The window count is the
-least that holds the group, and rises whenever capacity would be exceeded; where a window still
-holds more than its capacity, the excess is cut off and fills one that holds less. The group's odd
+least that holds the group and never rises; where a window holds more than its capacity, the excess
+is cut off and fills one that holds less. The group's odd
 tokens (fewer than a window) go to sequences of power-of-two lengths, which need no padding.
 
 No row is shuffled: a group never leaves its task, so memory is bounded by GROUP_TOKENS plus the
