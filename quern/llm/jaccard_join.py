@@ -1,20 +1,27 @@
 """N-gram Jaccard join: a grouped prefix join with exact verification.
 
-A document's set is its distinct 5-word shingles. Two sets of Jaccard similarity t or more share one
-of their first n - ceil(t n) + 1 shingles in any common order. The order here is by (estimated
-document frequency, hash), the estimate from a sketch of bounded size, so prefixes hold rare shingles.
-
-Copies with equal sets are one class. Classes of equal size and equal prefix are one group, whose
-prefix is looked up once. Pairs of groups that share a prefix shingle are filtered by size and position and
-expanded to their classes, pairs of classes by parity maps of their sets (exact bounds all three), and
-each candidate is verified on its whole sets. Candidates are taken in rounds so that a big group of near
-copies never gives all its pairs: first a pivot of each shingle and size band, and a head of each group,
-against the others in other components, several times; then, exactly, all pairs of a shingle or within a
-group that still lie in different components. A pair that is never verified thus lies within one component already, and components are
+A document's set is its distinct 5-word shingles (64-bit hashes). Two sets of Jaccard similarity t or
+more share one of their first n - ceil(t n) + 1 shingles in any common order. The order here is by
+(estimated document frequency, hash), the estimate from a sketch of bounded size, so prefixes hold rare
+shingles.
+
+Copies with equal sets are one class. Classes of equal size and equal prefix are one group. Groups meet
+in buckets of their prefix shingles, and pairs of groups pass bounds on size and position; only then are
+they expanded to their classes, whose pairs pass a bound on parity maps of their sets and are verified on
+whole sets. There are two rounds, so that a big group of near copies never gives all its pairs:
+
+1. the pivot of each shingle and size band against the other groups that hold it, and a head of each
+   group against its other classes;
+2. every pair of groups that share a shingle and still lie in different components; and, within a group
+   whose classes still do, every pair of classes in different components that share one of the shingles
+   that follow the prefix (a linked pair shares one of the next n - o + 1, o the overlap it needs).
+
+A pair that is never verified thus lies within one component already, or can't link, and components are
 those of the complete link graph.
 
-Rows in Spark are shingles shared by two groups at least; shingles of a single group are dropped in
-numpy, in buckets of bounded size. Shingles estimated to be too frequent for a bucket bypass them.
+A task sends each prefix shingle of its rows once for each size band; further groups with the same shingle
+stay beside the one that was sent, so a bucket holds at most a row for each task's chunk, whatever a
+shingle's frequency. Rows in Spark are shingles that two groups share at least.
 
 Defined cases: a null or empty text, or one of separators only, has n_shingles 0 and links with
 nothing; a null doc_id takes no part (component_id null); rows that repeat are copies; an empty table
@@ -34,14 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import SKETCH, Counters, frugal, frugal_group, merge_counters, shingle_sets, slices, words
+from quern.llm.textcore import SKETCH, Counters, frugal, frugal_group, from_planes, merge_counters, planes, shingle_sets, slices, words
 from quern.operators.graph import connected_components
 from quern.plans.scratch import Scratch, setting
 
 PARITY = 1024  # bits of a set's parity map
-ROUNDS = 2  # rounds of pivots
+FLUSH = 500_000  # prefix shingles that a task holds at once
 BUCKET = 500_000  # prefix shingles in a bucket, about
-HOT = 100_000  # a shingle estimated in more groups bypasses the buckets
 
 
 def _each(batches, k):
@@ -51,6 +57,19 @@ def _each(batches, k):
             yield b, i, shingle_sets(*words(data, off), k)
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _prefix(n: int, t: tuple[int, int]) -> int:
+    return n - -(-t[0] * n // t[1]) + 1
+
+
+def _ordered(s: np.ndarray, est: np.ndarray) -> np.ndarray:
+    """A set in the common order. s is sorted, so a stable sort by frequency leaves ties in hash order."""
+    return s[np.argsort(est[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
+
+
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches):
         c = Counters()
@@ -62,104 +81,135 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, t: tuple[int, int], freq) -> DataFrame:
-    num, den = t
-
+    """doc_id, th (hash of the text), n, and of sets that aren't empty sig, pre, prefix and bits."""
     def run(batches):
         est = freq.value
         for b, i, sets in _each(batches, k):
             sig, pre, prefix, bits = [], [], [], []
             for s in sets:
-                n = len(s)
-                if not n:
+                if not len(s):
                     sig.append(None), pre.append(None), prefix.append(None), bits.append(None)
                     continue
                 odd = np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                own = _ordered(s, est)[: _prefix(len(s), t)].tobytes()
+                sig.append(_digest(s.tobytes())), pre.append(_digest(own)), prefix.append(own)
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                p = n - -(-num * n // den) + 1
-                f = est[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                # s is sorted, so a stable sort by frequency leaves ties in hash order
-                own = s[np.argsort(f, kind="stable")[:p]].tobytes()
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                pre.append(hashlib.blake2b(own, digest_size=16).digest())
-                prefix.append(own)
-            ids = b.column(0).slice(i, len(sets))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pre", "prefix", "bits"])
-
-    return docs.mapInArrow(frugal(run), "doc_id long, n long, sig binary, pre binary, prefix binary, bits array<bigint>")
-
-
-def shared_shingles(groups: DataFrame, buckets: int, freq, t: tuple[int, int]) -> DataFrame:
-    """(token, gid, n, pos, pivot): prefix shingles that two groups share at least; pivot is the first
-    group of the shingle and size band that may link with the row's."""
+            at = [b.column(c).slice(i, len(sets)) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [*at, pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "th", "n", "sig", "pre", "prefix", "bits"],
+            )
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(frugal(run), "doc_id long, th long, n long, sig binary, pre binary, prefix binary, bits array<bigint>")
+
+
+def may_pair(na, nb, i, j, t: tuple[int, int]):
+    """Size and position: at its first common shingle a linked pair has room for the overlap it needs."""
+    num, den = t
+    return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - i, nb - j) * (num + den) >= (na + nb) * num)
+
+
+def _heads(token, band, gid):
+    """Order of the rows by token and band, and for each row the place of the first group of its token and band."""
+    o = np.lexsort((gid, band, token))
+    first = np.ones(len(o), bool)
+    first[1:] = (token[o][1:] != token[o][:-1]) | (band[o][1:] != band[o][:-1])
+    head = np.empty(len(o), np.int64)
+    head[o] = o[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return o, head
+
+
+def shared_shingles(groups: DataFrame, buckets: int, t: tuple[int, int]) -> DataFrame:
+    """(token, gid, n, pos, pivot): prefix shingles that two groups share at least; pivot is a group with
+    the shingle and size band that may link with the row's. groups: gid, n, prefix; a group may have
+    several rows."""
     num, den = t
-    names = ["bucket", "token", "gid", "n", "pos"]
+    kinds = (("token", np.uint64), ("gid", np.int64), ("n", np.int32), ("pos", np.int32), ("lead", np.int64), ("shared", np.int8))
+    names = ["bucket", *(c for c, _ in kinds)]
+    cuts = [-(-(x << 64) // buckets) for x in range(1, buckets)]
 
     def send(batches):
-        est, task = freq.value, TaskContext.get().partitionId()
-        token, gid, n, pos = [], [], [], []
-        held = 0
+        task = TaskContext.get().partitionId()
+        held, parts, seen = 0, [], set()
 
         def flush():
-            t, g, m, p = (np.concatenate(x) for x in (token, gid, n, pos))
-            hot = est[(t & np.uint64(SKETCH - 1)).astype(np.int64)] > HOT
-            b = np.where(hot, -1 - task, ((t >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
-            order = np.argsort(b, kind="stable")
-            b = b[order]
-            cuts = np.flatnonzero(np.diff(b)) + 1
-            rows = [[] for _ in names]
-            for o in np.split(order, cuts):
-                rows[1].append(t[o].tobytes()), rows[2].append(g[o].tobytes()), rows[3].append(m[o].tobytes()), rows[4].append(p[o].tobytes())
-            rows[0] = b[np.concatenate([[0], cuts])].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names)
+            sizes = [len(p[2]) for p in parts]
+            token = np.concatenate([p[2] for p in parts])
+            gid, n = (np.repeat(np.array([p[c] for p in parts], kind), sizes) for c, kind in ((0, np.int64), (1, np.int32)))
+            pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
+            band = np.floor(np.log(n) / math.log(den / num)).astype(np.int64)
+            o, head = _heads(token, band, gid)
+            # whether other groups of this chunk hold the token
+            t_o = token[o]
+            twin = np.zeros(len(o), bool)
+            twin[1:] = t_o[1:] == t_o[:-1]
+            twin[:-1] |= t_o[1:] == t_o[:-1]
+            own = {"token": token, "gid": gid, "n": n, "pos": pos, "lead": np.where(may_pair(n.astype(np.int64), n[head].astype(np.int64), pos, pos[head], t), gid[head], gid), "shared": np.ones(len(o), np.int8)}
+            own["shared"][o] = twin
+            sent = head[o] == o
+            at, bucket = [], []
+            go = o[sent]
+            for k, part in enumerate(np.split(go, np.searchsorted(token[go], np.array(cuts, np.uint64)))):
+                if len(part):
+                    at.append(part), bucket.append(k)
+            if not sent.all():
+                at.append(o[~sent]), bucket.append(-1 - task)
+            cols = []
+            for c, _ in kinds:
+                body = []
+                for part in at:
+                    v = own[c][part]
+                    if c == "token":
+                        v = np.diff(v, prepend=np.uint64(0))
+                    elif c == "lead":
+                        v = v - own["gid"][part]
+                    body.append(planes(v))
+                cols.append(pa.array(body, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *cols], names)
 
         for b in batches:
-            for g, m, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = np.frombuffer(raw, np.uint64)
-                token.append(s), gid.append(np.full(len(s), g)), n.append(np.full(len(s), m, np.int32)), pos.append(np.arange(len(s), dtype=np.int32))
-                held += len(s)
-            if held > 1_000_000:
-                yield flush()
-                token, gid, n, pos, held = [], [], [], [], 0
+            for g, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if g in seen:
+                    continue
+                seen.add(g)
+                parts.append((g, n, np.frombuffer(raw, np.uint64)))
+                held += len(parts[-1][2])
+                if held > FLUSH:
+                    yield flush()
+                    held, parts, seen = 0, [], set()
         if held:
             yield flush()
 
     def keep(key, pdf):
         import pandas as pd
 
-        token = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["token"]])
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        run = np.cumsum(new) - 1
-        live = (np.bincount(run)[run] > 1) | (key[0] < 0)
-        order = order[live]
-        gid, n, pos = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])[order] for c, kind in (("gid", np.int64), ("n", np.int32), ("pos", np.int32)))
-        token = token[live]
-        band = np.floor(np.log(n) / math.log(den / num)).astype(np.int64)
-        o = np.lexsort((gid, band, token))
-        first = np.ones(len(o), bool)
-        first[1:] = (token[o][1:] != token[o][:-1]) | (band[o][1:] != band[o][:-1])
-        head = np.empty(len(o), np.int64)
-        head[o] = o[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        size, lead = n.astype(np.int64), n.astype(np.int64)[head]
-        fits = (gid != gid[head]) & (np.minimum(size, lead) * den >= np.maximum(size, lead) * num)
-        fits &= np.minimum(size - pos, lead - pos[head]) * (num + den) >= (size + lead) * num
-        return pd.DataFrame({"token": token.astype(np.int64), "gid": gid, "n": n, "pos": pos, "pivot": pd.arrays.IntegerArray(gid[head], ~fits)})
-
-    packed = groups.select("gid", "n", "prefix").mapInArrow(frugal(send), "bucket long, token binary, gid binary, n binary, pos binary")
+        got = {c: [from_planes(x, kind) for x in pdf[c]] for c, kind in kinds}
+        got["token"] = [np.cumsum(x, dtype=np.uint64) for x in got["token"]]
+        token, gid, n, pos, lead, shared = (np.concatenate(got[c]) for c, _ in kinds)
+        lead = lead + gid
+        if key[0] >= 0:
+            # a group's rows from several chunks count once
+            order = np.lexsort((-shared, gid, token))
+            once = np.ones(len(order), bool)
+            once[1:] = (token[order][1:] != token[order][:-1]) | (gid[order][1:] != gid[order][:-1])
+            order = order[once]
+            token, gid, n, pos, shared = (x[order] for x in (token, gid, n, pos, shared))
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            run = np.cumsum(new) - 1
+            live = (np.bincount(run, minlength=1)[run] > 1) | (shared > 0)
+            token, gid, n, pos = (x[live] for x in (token, gid, n, pos))
+            _, head = _heads(token, np.floor(np.log(n) / math.log(den / num)).astype(np.int64), gid)
+            lead = np.where(may_pair(n.astype(np.int64), n[head].astype(np.int64), pos, pos[head], t), gid[head], gid)
+        return pd.DataFrame({"token": token.astype(np.int64), "gid": gid, "n": n, "pos": pos, "pivot": pd.arrays.IntegerArray(lead, lead == gid)})
+
+    packed = groups.select("gid", "n", "prefix").mapInArrow(frugal(send), "bucket long, token binary, gid binary, n binary, pos binary, lead binary, shared binary")
     return packed.groupBy("bucket").applyInPandas(frugal_group(keep), "token long, gid long, n int, pos int, pivot long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, int]:
-    """The pairs (a, b) of class ids whose sets have the similarity, and their number. Only texts of classes in
-    pairs are read again, and travel compressed: a sketch of their ids, of bounded size, drops the
-    others before any shuffle."""
-    spark = docs.sparkSession
-    x = classes.select(F.col("cid").alias("a"), F.col("doc").alias("da"), F.col("sig").alias("ga"))
-    y = classes.select(F.col("cid").alias("b"), F.col("doc").alias("db"), F.col("sig").alias("gb"))
-    pairs = scratch.keep(pairs.join(x, "a").join(y, "b"))
-
+def _marked(hashes: DataFrame):
+    """Broadcast bit map, of bounded size, of the hashes in the columns."""
     def mark(batches):
         c = Counters()
         for b in batches:
@@ -167,25 +217,41 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tup
                 c.add(col.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         yield c.rows()
 
-    hashes = pairs.select(F.xxhash64("da").alias("x"), F.xxhash64("db").alias("y"))
-    bits = spark.sparkContext.broadcast(np.packbits(merge_counters(hashes.mapInArrow(frugal(mark), "part int, counts binary")) > 0))
-    num, den = t
+    return hashes.sparkSession.sparkContext.broadcast(np.packbits(merge_counters(hashes.mapInArrow(frugal(mark), "part int, counts binary")) > 0))
+
 
-    def texts(batches):
+def _reread(docs: DataFrame, bits, k: int, make, schema: str) -> DataFrame:
+    """make(doc_id, set, text) of every document whose id is marked and whose set isn't empty."""
+    def run(batches):
         flags = np.unpackbits(bits.value).astype(bool)
-        press = zstandard.ZstdCompressor(3)
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [{"long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
         for b in batches:
             h = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             own = b.filter(pa.array(flags[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))
             for _, i, got in _each([own], k):
-                live = [j for j, s in enumerate(got) if len(s)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([own.column(0)[i + j].as_py() for j in live], pa.int64()), pa.array([hashlib.blake2b(got[j].tobytes(), digest_size=16).digest() for j in live], pa.binary()),
-                    pa.array([press.compress(own.column(1)[i + j].as_py().encode()) for j in live], pa.binary()),
-                ], ["doc", "sig", "z"])
+                rows = [make(own.column(0)[i + j].as_py(), s, own.column(1)[i + j].as_py()) for j, s in enumerate(got) if len(s)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(frugal(run), schema)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of class ids whose sets have the similarity, and their number. Only texts of classes in
+    pairs are read again, and travel compressed: a sketch of their ids, of bounded size, drops the
+    others before any shuffle."""
+    spark = docs.sparkSession
+    x = classes.select(F.col("cid").alias("a"), F.col("doc").alias("da"), F.col("sig").alias("ga"))
+    y = classes.select(F.col("cid").alias("b"), F.col("doc").alias("db"), F.col("sig").alias("gb"))
+    pairs = scratch.keep(pairs.join(x, "a").join(y, "b"))
+    bits = _marked(pairs.select(F.xxhash64("da").alias("x"), F.xxhash64("db").alias("y")))
+    num, den = t
+
+    def packed(doc, s, text):
+        return doc, _digest(s.tobytes()), zstandard.compress(text.encode(), 3)
 
-    found = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(frugal(texts), "doc long, sig binary, z binary")
-    found = scratch.keep(found)
+    found = scratch.keep(_reread(docs, bits, k, packed, "doc long, sig binary, z binary"))
 
     def unpacked(col):
         """The set of each distinct text of a column, and where each row's is."""
@@ -217,116 +283,108 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, t: tup
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module for the method and the cases."""
+    own = components(docs, id_col, text_col, k, threshold)
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, th, n of every row, and of rows that take part root and least (smallest doc_id) of their component."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     freq = spark.sparkContext.broadcast(frequencies(docs, k))
     full = scratch.write(profiles(docs, k, threshold, freq), "profiles")
-    part = full.where("n > 0 and doc_id is not null")
-    gid = F.xxhash64("n", "pre")  # groups that share a number are only expanded together
-    own = part.groupBy("sig", "n", "pre").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"))
-    classes = scratch.write(own.select(F.monotonically_increasing_id().alias("cid"), gid.alias("gid"), "n", "sig", "doc", "bits"), "classes")
-    n_classes = classes.count()
+    part = full.where("n > 0 and doc_id is not null").withColumn("gid", F.xxhash64("n", "pre"))
     size = part.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
-    groups = part.groupBy("n", "pre").agg(F.first("prefix").alias("prefix")).select(gid.alias("gid"), "n", "prefix")
-    runs = scratch.write(shared_shingles(groups, max(64, math.ceil(size / BUCKET)), freq, threshold), "shared")
-    seen = scratch.write(full.select("doc_id", "n", "sig"), "documents")
+    live = scratch.write(shared_shingles(part, max(64, math.ceil(size / BUCKET)), threshold), "shared")
+    own = part.groupBy("sig", "n", "gid").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"))
+    classes = scratch.write(own.select(F.monotonically_increasing_id().alias("cid"), "gid", "n", "sig", "doc", "bits"), "classes")
+    seen = scratch.write(full.select("doc_id", "th", "n", "sig"), "documents")
     scratch.drop(full)
-
-    def may_link(a: str, b: str):
-        """Size and position: at its first common shingle a linked pair has room for the overlap it needs."""
-        na, nb, i, j = (F.col(f"{x}.{c}").cast("long") for c in ("n", "pos") for x in (a, b))
-        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(na - i, nb - j) * (num + den) >= (na + nb) * num)
-
-    def near(a: str, b: str):
-        """Bits in which two parity maps differ are at most the shingles that only one set has."""
-        apart = sum((F.bit_count(F.col(f"{a}.bits")[w].bitwiseXOR(F.col(f"{b}.bits")[w])) for w in range(PARITY // 64)), F.lit(0))
-        n = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n").cast("long")
-        return apart * (num + den) <= n * (den - num)
-
-    roots = None
-
-    def rooted() -> DataFrame:
-        """classes with the root of their component so far."""
-        if roots is None:
-            return classes.withColumn("root", F.col("cid"))
-        return classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-    def grow(pairs: DataFrame):
-        """Roots after the links among pairs; the new links are taken between the roots so far."""
-        links, n = verify(docs, pairs, classes, k, threshold, scratch)
-        if roots is None:
-            new = scratch.write(connected_components(links, scratch, rows=n), "roots", 2 * n)
-        else:
-            own = rooted().select("cid", "root")
-            e = links.join(own.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(own.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
-            up = connected_components(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, rows=n).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            new = scratch.write(own.join(up, "root", "left").select(F.col("cid").alias("node"), F.coalesce("top", "root").alias("root")), "roots", n_classes)
-        scratch.drop(links)
-        return new
-
-    def expand(pairs: DataFrame, own: DataFrame, step: int) -> DataFrame:
-        """Pairs of groups, and of each group's head (of another component in each step) with its others, to
-        pairs of classes in different components."""
-        x, y = own.alias("x"), own.alias("y")
-        across = pairs.join(x, F.col("ga") == F.col("x.gid")).join(y, F.col("gb") == F.col("y.gid")).where("x.root <> y.root").select("x.cid", F.col("y.cid").alias("c"))
-        head = own.groupBy("gid").agg(F.min(F.struct(F.xxhash64("root", F.lit(step)).alias("h"), "cid", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid", "p")
-        inside = own.join(head, "gid").where("root <> p.root").select("p.cid", F.col("cid").alias("c"))
-        return across.union(inside).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
-
-    def torn(live: DataFrame) -> DataFrame:
-        """Rows (token, gid, n, pos, lo, hi) of the shingles whose groups lie in several components."""
-        span = rooted().groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        r = live.select("token", "gid", "n", "pos").join(span, "gid")
-        several = r.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-        return scratch.write(r.join(several, "token"), "torn", live.count())
-
-    # first round: the pivots that the buckets found
-    roots = grow(expand(runs.where("pivot is not null").select(F.col("pivot").alias("ga"), F.col("gid").alias("gb")).distinct(), rooted().select("cid", "gid", "root"), 0))
-    live = torn(runs)
-    scratch.drop(runs)
     scratch.sweep()
-    for step in range(1, ROUNDS):
-        # another pivot for each shingle and size band
-        r = live.withColumns({"band": F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int"), "h": F.xxhash64("gid", F.lit(step))})
-        pivot = r.groupBy("token", "band").agg(F.min(F.struct("h", "gid", "n", "pos", "lo", "hi")).alias("p"), F.min("lo").alias("l"), F.max("hi").alias("m")).where("l < m").select("token", "band", "p")
-        one = (F.col("r.lo") == F.col("r.hi")) & (F.col("p.lo") == F.col("p.hi")) & (F.col("r.lo") == F.col("p.lo"))
-        star = r.alias("r").join(pivot, ["token", "band"]).where((F.col("r.gid") != F.col("p.gid")) & ~one & may_link("r", "p"))
-        star = star.select(F.col("p.gid").alias("ga"), F.col("r.gid").alias("gb")).distinct()
-        roots = grow(expand(star, rooted().select("cid", "gid", "root"), step))
-        live = torn(live)
-        scratch.sweep()
-
-    # the rest, exactly: every pair that still lies in different components
-    own = rooted().select("gid", "cid", "n", "root", "bits")
-    # where two prefixes also agree in their last shared shingle before this one, the pair is met there
-    before = F.lag("token").over(W.partitionBy("gid").orderBy("pos"))
-    r = scratch.write(live.select("token", "gid", "pos", before.alias("before")).join(own, "gid"), "rest", live.count())
-    # beyond this position the smaller set has no first common shingle
-    index = r.where(F.col("pos") * (num + den) <= F.col("n") * (den - num))
-    bigger = (F.col("v.n") > F.col("u.n")) | ((F.col("v.n") == F.col("u.n")) & (F.col("v.cid") > F.col("u.cid")))
-    cross = index.alias("u").join(r.alias("v"), (F.col("u.token") == F.col("v.token")) & (F.col("u.gid") != F.col("v.gid")) & (F.col("u.root") != F.col("v.root")) & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False)) & bigger & may_link("u", "v") & near("u", "v"))
-    # a group's classes share their whole prefix, which other groups need not share
-    several = own.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
-    inner = own.join(several, "gid")
-    within = inner.alias("u").join(inner.alias("v"), (F.col("u.gid") == F.col("v.gid")) & (F.col("u.cid") < F.col("v.cid")) & (F.col("u.root") != F.col("v.root")) & near("u", "v"))
-    both = cross.select("u.cid", F.col("v.cid").alias("c")).union(within.select("u.cid", F.col("v.cid").alias("c")))
-    roots = grow(both.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct())
+
+    # first round: the pivots that the buckets found, and each group's head
+    slim = classes.select("cid", "gid")
+    stars = live.where("pivot is not null").select(F.col("pivot").alias("ga"), F.col("gid").alias("gb")).distinct()
+    across = stars.join(slim.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), "ga").join(slim.select(F.col("gid").alias("gb"), F.col("cid").alias("b")), "gb").select("a", "b")
+    head = slim.groupBy("gid").agg(F.min("cid").alias("a"), F.count("*").alias("c")).where("c > 1").select("gid", "a")
+    inside = slim.join(head, "gid").where("cid <> a").select("a", F.col("cid").alias("b"))
+    links, n_links = verify(docs, across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, k, threshold, scratch)
+    links = scratch.write(links, "links", n_links)
+    roots = connected_components(links, scratch, rows=n_links)
+    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = scratch.write(rooted.select("cid", "gid", "n", "root", "doc", "sig", "bits"), "rooted")
+
+    # second round, exactly: every pair that still lies in different components
+    more = across_groups(live, rooted, threshold, scratch).union(within_groups(docs, rooted, k, threshold, freq))
+    x, y = (rooted.select(*[F.col(c).alias(f"{c}_{v}") for c in ("cid", "n", "bits")]) for v in "xy")
+    more = more.distinct().join(x, F.col("a") == F.col("cid_x")).join(y, F.col("b") == F.col("cid_y"))
+    # bits in which two parity maps differ are at most the shingles that only one set has
+    apart = sum((F.bit_count(F.col("bits_x")[w].bitwiseXOR(F.col("bits_y")[w])) for w in range(PARITY // 64)), F.lit(0))
+    more = more.where(apart * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num)).select("a", "b")
+    new, n_new = verify(docs, more, classes, k, threshold, scratch)
+    scratch.drop(live)
+    if n_new:
+        roots = connected_components(links.union(new), scratch, rows=n_links + n_new)
 
     final = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "doc", F.coalesce("root", "cid").alias("root"))
     least = final.groupBy("root").agg(F.min("doc").alias("least"))
-    named = final.join(least, "root").select("sig", "least")
-    out = seen.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but the smallest id of each component; one row of rows that repeat an id that
-    stays. Rows with a null id stay."""
-    kept = near_duplicates(docs, id_col, text_col, **how).where("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"))
-    one = rows.where("i is not null").join(kept, F.col("i") == F.col("__kept"), "left_semi").dropDuplicates(["i"])
-    return one.union(rows.where("i is null")).select("row.*")
+    return seen.join(final.join(least, "root").select("sig", "root", "least"), "sig", "left").drop("sig")
+
+
+def across_groups(live: DataFrame, rooted: DataFrame, t: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of classes in different components whose groups share a shingle and may link."""
+    num, den = t
+    span = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # where two prefixes also agree in their last shared shingle before this one, the pair is met there
+    before = F.lag("token").over(W.partitionBy("gid").orderBy("pos"))
+    r = live.select("token", "gid", "n", "pos").join(span, "gid").withColumn("before", before)
+    r = r.where("before is null or before <> token")  # a row that two chunks of copies gave
+    # beyond this position the smaller set has no first common shingle
+    first = F.col("pos") * (num + den) <= F.col("n") * (den - num)
+    torn = r.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.max(first).alias("f")).where("l < h and f").select("token")
+    r = scratch.write(r.join(torn, "token"), "torn")
+    u, v = r.where(first).alias("u"), r.alias("v")
+    na, nb, i, j = (F.col(f"{x}.{c}").cast("long") for c in ("n", "pos") for x in "uv")
+    fits = (na * den >= nb * num) & (F.least(na - i, nb - j) * (num + den) >= (na + nb) * num)
+    bigger = (nb > na) | ((nb == na) & (F.col("v.gid") > F.col("u.gid")))
+    one = (F.col("u.lo") == F.col("u.hi")) & (F.col("v.lo") == F.col("v.hi")) & (F.col("u.lo") == F.col("v.lo"))
+    met = F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False))
+    pairs = u.join(v, F.col("u.token") == F.col("v.token")).where(bigger & fits & ~one & ~met).select(F.col("u.gid").alias("ga"), F.col("v.gid").alias("gb")).distinct()
+    x, y = (rooted.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cid", "gid", "root")]) for s in "xy")
+    pairs = pairs.join(x, F.col("ga") == F.col("gid_x")).join(y, F.col("gb") == F.col("gid_y")).where("root_x <> root_y")
+    return pairs.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b"))
+
+
+def within_groups(docs: DataFrame, rooted: DataFrame, k: int, t: tuple[int, int], freq) -> DataFrame:
+    """Pairs (a, b) of classes in different components of one group that share a shingle beyond the prefix."""
+    num, den = t
+    several = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
+    inner = rooted.join(several, "gid").select("cid", "gid", "root", "doc", "sig")
+    if inner.isEmpty():
+        return inner.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    bits = _marked(inner.select(F.xxhash64("doc").alias("x")))
+
+    def following(doc, s, text):
+        n = len(s)
+        p, need = _prefix(n, t), -(-2 * n * num // (num + den))
+        return doc, _digest(s.tobytes()), _ordered(s, freq.value)[p : p + n - need + 1].view(np.int64)
+
+    rows = _reread(docs, bits, k, following, "doc long, sig binary, next array<bigint>").dropDuplicates(["doc", "sig"])
+    rows = inner.join(rows, ["doc", "sig"]).select("cid", "gid", "root", F.explode("next").alias("token"))
+    u, v = rows.alias("u"), rows.alias("v")
+    return u.join(v, ["gid", "token"]).where("u.cid < v.cid and u.root <> v.root").select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """docs with one document of each component, that of the smallest id (of equal ids the smallest hash of
+    the text). Rows with a null id or without words stay; of rows that repeat an id and a text that stay, one."""
+    got = components(docs, id_col, text_col, k, threshold).where("root is not null")
+    kept = got.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.th").alias("th"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"))
+    apart = F.col("i").isNull() | ~F.coalesce(F.col("row")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = rows.where(~apart).join(kept, ["i", "th"], "left_semi").dropDuplicates(["i", "th"])
+    return one.select("row").union(rows.where(apart).select("row")).select("row.*")
 
 
 def op2_jaccard_join(spark, d):

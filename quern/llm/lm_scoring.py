@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import frugal, frugal_group, mix, slices, words
+from quern.llm.textcore import frugal, frugal_group, from_planes, mix, planes, slices, words
 from quern.plans.scratch import Scratch
 
 CHUNK = 12 << 20
@@ -73,16 +73,6 @@ def _asked(tokens: np.ndarray, weight: np.ndarray):
     return out
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of equal rank together, so that Spark's codec sees the runs of zeros."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def _from_planes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Packed texts: chunk, ids, has_id, role (1: training), lens, texts, n_tokens."""
     names = ["chunk", "ids", "has_id", "role", "lens", "texts", "n_tokens"]
@@ -138,7 +128,7 @@ def replies(packed: DataFrame, buckets: int) -> DataFrame:
                         if len(h):
                             d = h.copy()
                             d[1:] -= h[:-1]
-                            rows.append((bucket, b.column("chunk")[k].as_py(), kind, _planes(d), _planes(own.astype(np.uint32))))
+                            rows.append((bucket, b.column("chunk")[k].as_py(), kind, planes(d), planes(own.astype(np.uint32))))
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "chunk", "kind", "h", "c"])
 
@@ -147,14 +137,14 @@ def replies(packed: DataFrame, buckets: int) -> DataFrame:
 
         out = []
         for kind, part in pdf.groupby("kind"):
-            hs = [np.cumsum(_from_planes(x, _U), dtype=_U) for x in part["h"]]
+            hs = [np.cumsum(from_planes(x, _U), dtype=_U) for x in part["h"]]
             h, inv = np.unique(np.concatenate(hs), return_inverse=True)
-            total = np.bincount(inv, weights=np.concatenate([_from_planes(x, np.uint32) for x in part["c"]]).astype(float), minlength=len(h)).astype(np.int64)
+            total = np.bincount(inv, weights=np.concatenate([from_planes(x, np.uint32) for x in part["c"]]).astype(float), minlength=len(h)).astype(np.int64)
             if kind == 0:
                 out.append((-1, 0, int(key[0]), np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()))
             at = 0
             for chunk, own in zip(part["chunk"], hs):
-                out.append((chunk, kind, int(key[0]), _planes(total[inv[at : at + len(own)]].astype(np.uint32))))
+                out.append((chunk, kind, int(key[0]), planes(total[inv[at : at + len(own)]].astype(np.uint32))))
                 at += len(own)
         return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "counts"])
 
@@ -168,7 +158,7 @@ def _events(doc_rows, reply_rows):
     got = {0: [], 1: []}
     kinds, order, counts = (reply_rows.column(c).to_pylist() for c in ("kind", "bucket", "counts"))
     for kind, _, c in sorted(zip(kinds, order, counts), key=lambda r: r[:2]):
-        got[kind].append(_from_planes(c, np.uint32))
+        got[kind].append(from_planes(c, np.uint32))
     back = [np.concatenate(got[kind])[inv].astype(np.int64) for kind, _, _, inv in _asked(tokens, np.zeros(len(tokens)))]
     end = back[0][np.flatnonzero(tokens == END)[0]] if len(tokens) else 0
     before = np.empty_like(back[0])

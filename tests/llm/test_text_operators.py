@@ -92,15 +92,47 @@ def test_jaccard_join_against_brute_force(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
-def test_jaccard_join_hot_path_and_bounds(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT", -1)
-    rows = corpus(2, 60)
-    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
-    assert Counter(tuple(r) for r in got) == Counter(brute_components(rows))
+@pytest.mark.parametrize("seed", [2, 3])
+def test_jaccard_join_small_chunks_and_bounds(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "FLUSH", 300)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 100)
+    rows = corpus(seed, 60)
+    got = jaccard_join.near_duplicates(frame(spark, rows + rows[:30])).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_components(rows + rows[:30]))
     assert jaccard_join.near_duplicates(frame(spark, rows).limit(0)).count() == 0
     assert jaccard_join.near_duplicates(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
+def triples(seed):
+    """Documents made of common passages: of each three of equal size and prefix the last two link, neither with the first."""
+    r = random.Random(seed)
+
+    def passage(n):
+        return [f"p{r.random()}" for _ in range(n)]
+
+    one, two = passage(30), passage(30)
+    rows = [" ".join(one + two + passage(5)) for _ in range(12)]
+    for _ in range(12):
+        h = passage(20)
+        rows += [" ".join(h + one), " ".join([*h, *two[:29], "x"]), " ".join([*h, *two[:29], "y"])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_common_passages(spark, seed):
+    rows = triples(seed)
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_components(rows))
+
+
+def test_jaccard_join_of_a_chain_of_near_copies(spark):
+    """Neighbours link, the ends don't: one component beyond any pivot's reach."""
+    w = [f"c{k}" for k in range(240)]
+    rows = [(k, " ".join(w[4 * k : 4 * k + 60])) for k in range(45)]
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert {r["component_id"] for r in got} == {0} and Counter(tuple(r) for r in got) == Counter(brute_components(rows))
+
+
 def one_group(r, tag):
     """Two linked pairs of one size and prefix (the words of rare), no link between the pairs; and documents
     that make all their other shingles frequent."""
@@ -132,6 +164,10 @@ def test_keep_one(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for i, _, c in brute_components(rows) if i == c})
     assert kept.where("doc_id is null").count() == 1
+    # different texts under one id are different documents
+    odd = [(7, "one two three four five six"), (7, "seven eight nine ten eleven"), (7, "one two three four five six"), (8, "seven eight nine ten eleven"), (9, ""), (9, None)]
+    got = jaccard_join.keep_one(frame(spark, odd)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([(7, odd[0][1]), (7, odd[1][1]), (9, ""), (9, None)])
 
 
 def crc(i, n):
