@@ -110,9 +110,10 @@ def may_pair(na, nb, i, j, t: tuple[int, int]):
     return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - i, nb - j) * (num + den) >= (na + nb) * num)
 
 
-def _heads(token, band, gid):
-    """Order of the rows by token and band, and for each row the place of the first group of its token and band."""
-    o = np.lexsort((gid, band, token))
+def _heads(token, band, pos, gid):
+    """Order of the rows by token and band, and for each row the place of the pivot of its token and band: the
+    group with the fewest rarer shingles, which is the least edited of near copies."""
+    o = np.lexsort((gid, pos, band, token))
     first = np.ones(len(o), bool)
     first[1:] = (token[o][1:] != token[o][:-1]) | (band[o][1:] != band[o][:-1])
     head = np.empty(len(o), np.int64)
@@ -139,7 +140,7 @@ def shared_shingles(groups: DataFrame, buckets: int, t: tuple[int, int]) -> Data
             gid, n = (np.repeat(np.array([p[c] for p in parts], kind), sizes) for c, kind in ((0, np.int64), (1, np.int32)))
             pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
             band = np.floor(np.log(n) / math.log(den / num)).astype(np.int64)
-            o, head = _heads(token, band, gid)
+            o, head = _heads(token, band, pos, gid)
             # whether other groups of this chunk hold the token
             t_o = token[o]
             twin = np.zeros(len(o), bool)
@@ -200,7 +201,7 @@ def shared_shingles(groups: DataFrame, buckets: int, t: tuple[int, int]) -> Data
             run = np.cumsum(new) - 1
             live = (np.bincount(run, minlength=1)[run] > 1) | (shared > 0)
             token, gid, n, pos = (x[live] for x in (token, gid, n, pos))
-            _, head = _heads(token, np.floor(np.log(n) / math.log(den / num)).astype(np.int64), gid)
+            _, head = _heads(token, np.floor(np.log(n) / math.log(den / num)).astype(np.int64), pos, gid)
             lead = np.where(may_pair(n.astype(np.int64), n[head].astype(np.int64), pos, pos[head], t), gid[head], gid)
         return pd.DataFrame({"token": token.astype(np.int64), "gid": gid, "n": n, "pos": pos, "pivot": pd.arrays.IntegerArray(lead, lead == gid)})
 
@@ -379,7 +380,7 @@ def within_groups(docs: DataFrame, rooted: DataFrame, k: int, t: tuple[int, int]
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
     """docs with one document of each component, that of the smallest id (of equal ids the smallest hash of
     the text). Rows with a null id or without words stay; of rows that repeat an id and a text that stay, one."""
-    got = components(docs, id_col, text_col, k, threshold).where("root is not null")
+    got = components(docs, id_col, text_col, k, threshold).where("root is not null and doc_id is not null")
     kept = got.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.th").alias("th"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"))
     apart = F.col("i").isNull() | ~F.coalesce(F.col("row")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
