@@ -3,10 +3,11 @@
 Each task takes its documents in groups of GROUP_TOKENS tokens. Whole windows are cut from long
 documents; what remains of each document is an item. Items are divided into windows of near-equal
 sums by largest differencing: of all partial partitions, the two with the largest spread are merged,
-the fullest window of one with the emptiest of the other, until one is left. The window count is the
-least that holds the group and never rises; where a window holds more than its capacity, the excess
-is cut off and fills one that holds less. The group's odd
-tokens (fewer than a window) go to sequences of power-of-two lengths, which need no padding.
+the fullest window of one with the emptiest of the other, until one is left. The window count starts at
+the least that holds the items and rises, by what the excess fills, as long as a window holds more than
+its capacity. Then no window is padded: free places are filled, fullest window first, with tokens cut from
+the emptiest windows, until fewer tokens than a window holds are left. These odd tokens go to sequences of
+power-of-two lengths, which need no padding.
 
 No row is shuffled: a group never leaves its task, so memory is bounded by GROUP_TOKENS plus the
 longest document, and a lost task is redone alone.
@@ -32,7 +33,8 @@ from quern.llm.textcore import frugal
 
 CAPACITY = 2048
 END_ID = 1
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 500_000
+RISE = 64  # the window count rises by its RISE-th part at least
 TOKENIZER = "byte_bpe_50k"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +42,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @lru_cache(maxsize=2)
 def encoder(name: str = TOKENIZER):
     """text -> ids of public_tokenizers' name.json. The same vocabulary and pattern by ranks is the
-    faster way to the same ids; texts it refuses go to the tokenizer itself."""
+    faster way to the same ids; texts that it refuses, or that hold an added token of the file, go to the
+    tokenizer itself."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -48,16 +51,17 @@ def encoder(name: str = TOKENIZER):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as e:
-            if not isinstance(e, ValueError) and "Panic" not in type(e).__name__:
-                raise
-            slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-            slow.encode_special_tokens = True
-            return slow.encode(text, add_special_tokens=False).ids
+        if not any(t in text for t in added):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:
+                if not isinstance(e, ValueError) and "Panic" not in type(e).__name__:
+                    raise
+        return whole.encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -96,6 +100,11 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
+def _emptied(windows: list[list[tuple[int, int, int]]], capacity: int) -> int:
+    """How many windows there are beyond those that all tokens can fill."""
+    return len(windows) - sum(i[2] for w in windows for i in w) // capacity
+
+
 def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document number, start, length, sequence number, offset) that hold every token once."""
     pieces, n_seq, items = [], 0, []
@@ -105,44 +114,25 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int,
             n_seq += 1
         if n % capacity:
             items.append((d, n - n % capacity, n % capacity))
-    odd = sum(i[2] for i in items) % capacity
-    items.sort(key=lambda i: i[2])
-    rest, at = [], 0
-    while odd:
-        d, s, n = items[at]
-        if n <= odd:
-            rest.append(items[at])
-            at += 1
-        else:
-            rest.append((d, s + n - odd, odd))
-            items[at] = (d, s, n - odd)
-        odd -= rest[-1][2]
-    items = items[at:]
     k = -(-sum(i[2] for i in items) // capacity)
-    if k:
+    windows = differencing([i[2] for i in items], k)
+    while excess := sum(max(0, sum(items[i][2] for i in w) - capacity) for w in windows):
+        k += max(-(-excess // capacity), -(-k // RISE))
         windows = differencing([i[2] for i in items], k)
-        excess, short = [], []
-        for w in windows:
-            free = capacity
-            for i in w:
-                d, s, n = items[i]
-                take = min(n, free)
-                if take:
-                    pieces.append((d, s, take, n_seq, capacity - free))
-                    free -= take
-                if take < n:
-                    excess.append((d, s + take, n - take))
-            if free:
-                short.append((n_seq, free))
-            n_seq += 1
-        for d, s, n in excess:
-            while n:
-                q, free = short.pop()
-                take = min(n, free)
-                pieces.append((d, s, take, q, capacity - free))
-                s, n = s + take, n - take
-                if take < free:
-                    short.append((q, free - take))
+    # fullest first; the emptiest give their tokens to the free places of the fuller ones
+    windows = sorted(([items[i] for i in w] for w in windows), key=lambda w: -sum(i[2] for i in w))
+    spare = [i for w in reversed(windows[len(windows) - _emptied(windows, capacity) :]) for i in w]
+    for w in windows[: len(windows) - _emptied(windows, capacity)]:
+        free = capacity
+        while free:
+            d, s, n = w.pop() if w else spare.pop()
+            take = min(n, free)
+            pieces.append((d, s, take, n_seq, capacity - free))
+            free -= take
+            if take < n:
+                spare.append((d, s + take, n - take))
+        n_seq += 1
+    rest = spare
     left = sum(i[2] for i in rest)
     free = fill = 0
     for d, s, n in rest:
