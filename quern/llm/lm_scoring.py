@@ -1,6 +1,7 @@
 """LM scoring by deleted interpolation of a bigram model.
 
     p(w | v) = a * c(v w) / c(v) + b * c(w) / N + (1 - a - b) / (V + 1)
+    base(w)  = (c(w) + 1) / (N + V + 1)
 
 v is the word before w, or the end of the text before. The weights a and b depend on the bucket of
 c(v), its number of binary digits, and are learned by expectation-maximisation on held-out counts by
@@ -238,7 +239,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         b = left.combine_chunks().to_batches()[0]
         ids, known, role, n, c, before, both = _events(b, right)
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        base = np.add.reduceat(np.log10((c + 1) / ((tokens + 1) * (types + 1))), start)
+        base = np.add.reduceat(np.log10((c + 1) / (tokens + types + 1)), start)
         w = weights[_level(before)]
         none = before == 0
         a, u = np.where(none, 0.0, w[:, 0]), w[:, 1]
