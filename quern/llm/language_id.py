@@ -12,9 +12,12 @@ under KNOWN, or under SURE while no language's own classifier accepts the text (
 bounds fall to SLACK of the share that all but 1 % of a language's labelled held-out texts reach, so
 where little was learned clean texts stay; a language without such texts has no bound.
 
-Bounds: TRAIN labelled rows, as many of each language as of another where there are so many, chosen
-by the hash of their id; LANDMARKS of them; MAX_LANGS languages (more raise).
+Bounds of the fit: TRAIN labelled rows, as many of each language as of another where there are so many,
+chosen by the hash of their id; LANDMARKS of them; the MAX_LANGS most frequent languages. On the driver are
+the landmarks' presence vectors as bit maps (DIM bits each) and, of the other rows, their products with
+the landmarks (LANDMARKS numbers each); both are made on the executors and don't depend on text lengths.
 
+Defined cases of keep_known: where nothing was learned, texts with a letter stay, others go.
 Defined cases: `und` with score 0 for a null text, a text without a letter, or where nothing was
 learned; a null doc_id is like any other (crc32 of nothing is not 2 modulo 4); rows that repeat are
 scored alike; languages tie to the smaller name; an empty table gives no rows; other columns play no
@@ -23,12 +26,15 @@ part.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textcore import LOWER, frugal, slices, tidy
+from quern.plans.scratch import Scratch
 
 TRAIN, LANDMARKS, MAX_LANGS = 1600, 240, 64
 RIDGE = 1e-3
@@ -72,31 +78,22 @@ def presence(texts: pa.Array):
         yield i, out, has
 
 
-def fit(sets: list[np.ndarray], langs: list[str], ridge: float = RIDGE, landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, matrix of n-grams by languages)."""
+def scaled(numbers: list[np.ndarray], used: np.ndarray) -> np.ndarray:
+    """Presence vectors of unit length over the n-grams used."""
+    x = np.zeros((len(numbers), len(used)), np.float32)
+    for row, own in zip(x, numbers):
+        at = np.searchsorted(used, own)
+        at[at == len(used)] = 0
+        row[at[used[at] == own]] = 1 / np.sqrt(max(len(own), 1))
+    return x
+
+
+def solve(knm: np.ndarray, kmm: np.ndarray, langs: list[str], ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """(languages in order, landmark weights of each): one-versus-rest ridge regression."""
     names = sorted(set(langs))
-    by = [[k for k, x in enumerate(langs) if x == n] for n in names]
-    chosen = [own[r] for r in range(max(map(len, by))) for own in by if r < len(own)][:landmarks]
-    used = np.unique(np.concatenate([sets[k] for k in chosen]))
-
-    def rows(numbers):
-        """Scaled presence vectors over the landmarks' n-grams."""
-        x = np.zeros((len(numbers), len(used)), np.float32)
-        for row, k in zip(x, numbers):
-            at = np.searchsorted(used, sets[k])
-            at[at == len(used)] = 0
-            row[at[used[at] == sets[k]]] = 1 / np.sqrt(max(len(sets[k]), 1))
-        return x
-
-    mark = rows(chosen)
-    knm = np.concatenate([rows(range(a, min(a + 64, len(sets)))) @ mark.T for a in range(0, len(sets), 64)]).astype(float)
-    kmm = knm[chosen]
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    left = knm.T @ knm + ridge * len(sets) * kmm + 1e-9 * np.eye(len(chosen)) * len(sets)
-    alpha = np.linalg.solve(left, knm.T @ y)
-    matrix = np.zeros((DIM, len(names)), np.float32)
-    matrix[used] = mark.T @ alpha
-    return names, matrix
+    left = knm.T @ knm + ridge * len(langs) * kmm + 1e-9 * np.eye(len(kmm)) * len(langs)
+    return names, np.linalg.solve(left, knm.T @ y)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: int = TRAIN) -> DataFrame:
@@ -122,9 +119,7 @@ def held(id_col: str):
 def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int) -> DataFrame | None:
     """(rank, language, text): about train labelled rows, as many of each language; None where there are none."""
     part = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    counts = {r["l"]: r["count"] for r in part.groupBy("l").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = {r["l"]: r["count"] for r in part.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, train / len(counts) / n)))])
@@ -133,25 +128,55 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train:
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: int) -> tuple[list[str], np.ndarray]:
+    """(languages, matrix of n-grams by languages)."""
+    none = [], np.zeros((DIM, 0), np.float32)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     sample = labelled(docs.where(~held(id_col)), id_col, text_col, lang_col, train)
     if sample is None:
-        return [], np.zeros((DIM, 0), np.float32)
+        return none
+    sample = scratch.write(sample.select("r", "l", F.xxhash64("t").alias("x"), "t"), "sample", train)
 
-    def run(batches):
-        for b in batches:
-            for i, sets, has in presence(b.column(2)):
-                keep = [k for k in range(len(sets)) if has[k]]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i + k].as_py() for k in keep], pa.float64()), pa.array([b.column(1)[i + k].as_py() for k in keep], pa.string()), pa.array([sets[k].astype(np.int32).tobytes() for k in keep], pa.binary())], ["r", "l", "s"])
-
-    got = sample.mapInArrow(frugal(run), "r double, l string, s binary").orderBy("r", "l", "s").limit(2 * train + 100).collect()
-    if not got:
-        return [], np.zeros((DIM, 0), np.float32)
-    sets, langs = [np.frombuffer(r["s"], np.int32) for r in got], [r["l"] for r in got]
-    del got
-    out = fit(sets, langs)
-    del sets
+    def run(make):
+        def each(batches):
+            for b in batches:
+                for i, sets, has in presence(b.column(3)):
+                    own = b.slice(i, len(sets)).select([0, 1, 2])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([make(x) for x in sets], pa.binary())], ["r", "l", "x", "s"]).filter(pa.array(has, pa.bool_()))
+
+        return sample.mapInArrow(frugal(each), "r double, l string, x long, s binary").orderBy("r", "l", "x").limit(2 * train + 100)
+
+    rows = run(lambda x: b"").select("r", "l", "x").collect()
+    if not rows:
+        return none
+    by = {}
+    for r in rows:
+        by.setdefault(r["l"], []).append((r["r"], r["x"]))
+    by = [own for _, own in sorted(by.items())]
+    chosen = [own[k] for k in range(max(map(len, by))) for own in by if k < len(own)][:LANDMARKS]
+    whole, sample = sample, sample.where(F.struct("r", "x").isin([F.struct(F.lit(r), F.lit(x)) for r, x in chosen]))
+
+    def bits(x):
+        own = np.zeros(DIM, bool)
+        own[x] = True
+        return zlib.compress(np.packbits(own).tobytes(), 1)
+
+    marks = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["s"]), np.uint8))) for r in run(bits).collect()]
+    sample = whole
+    used = np.unique(np.concatenate(marks))
+    mark = scaled(marks, used)
+    shared = spark.sparkContext.broadcast((used, mark))
+
+    def products(x):
+        own, m = shared.value
+        return (scaled([x], own) @ m.T).astype(np.float32).tobytes()
+
+    got = run(products).select("l", "s").collect()
+    names, alpha = solve(np.array([np.frombuffer(r["s"], np.float32) for r in got], float), (mark @ mark.T).astype(float), [r["l"] for r in got])
+    matrix = np.zeros((DIM, len(names)), np.float32)
+    matrix[used] = mark.T @ alpha
+    scratch.drop(whole)
     tidy()
-    return out
+    return names, matrix
 
 
 def predict(sets, has, names, matrix) -> tuple[list[str], np.ndarray]:
@@ -205,6 +230,9 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ok = []
             for _, sets, has in presence(b.column(at)):
                 pred, score = predict(sets, has, names, shared.value)
+                if not names:
+                    ok += has
+                    continue
                 for p, s, k in zip(pred, score, known_share(sets, seen)):
                     bound = min(SURE if s < 0.5 else KNOWN, SLACK * clean.get(p, 0.0))
                     ok.append(bool(p != "und" and s >= least and k >= bound))

@@ -260,7 +260,31 @@ def test_language_id(spark):
     kept = language_id.keep_known(d)
     assert kept.columns == d.columns and {9000, 9001, 9002} & {r["doc_id"] for r in kept.collect()} == set() and kept.count() == len(got) - 3
     assert language_id.identify(d.limit(0)).count() == 0
-    assert {r["lang_pred"] for r in language_id.identify(d.withColumn("lang", d["lang"].substr(9, 1)).where("lang is null")).collect()} == {"und"}
+    unknown = d.selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert {r["lang_pred"] for r in language_id.identify(unknown).collect()} == {"und"}
+    # nothing learned: only texts without a letter go
+    assert language_id.keep_known(unknown).count() == len(got) - 3
+
+
+def test_language_id_is_kernel_ridge_regression(spark, monkeypatch):
+    """Every training row a landmark: the predictions are those of the explicit kernel matrix."""
+    monkeypatch.setattr(language_id, "LANDMARKS", 10_000)
+    rows = language_rows(60)
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def grams(t):
+        b = t.encode().translate(LOW)
+        return {b[k : k + n] for n in (2, 3, 4) for k in range(len(b) - n + 1)}
+
+    own = [grams(t) for _, t, _ in rows]
+    learn = [k for k, (i, _, _) in enumerate(rows) if crc(i, 4) != 2]
+    kernel = np.array([[len(x & own[k]) / math.sqrt(len(x) * len(own[k])) for k in learn] for x in own])
+    names = sorted(WORDS)
+    y = np.array([[1.0 if rows[k][2] == n else -1.0 for n in names] for k in learn])
+    f = kernel @ np.linalg.solve(kernel[learn] + language_id.RIDGE * len(learn) * np.eye(len(learn)), y)
+    for k, (i, _, _) in enumerate(rows):
+        assert got[i]["lang_pred"] == names[f[k].argmax()]
+        assert got[i]["score"] == pytest.approx(min(1, max(0, (f[k].max() + 1) / 2)), abs=0.02)
 
 
 def test_keep_known_rejects_foreign_and_junk_texts(spark):
@@ -303,9 +327,41 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
-def test_flattened_trees_agree_with_growth():
+def grown(x, y, trees, depth):
+    """Boosting by the plain definition: every threshold between values tried, each node split on its own rows."""
+    def leaf(rows, g, w):
+        return quality.RATE * g[rows].sum() / (w[rows].sum() + quality.RIDGE)
+
+    def gain(rows, g, w):
+        return g[rows].sum() ** 2 / (w[rows].sum() + quality.RIDGE)
+
+    def add(rows, level, g, w, out):
+        best, parts = 1e-6, None
+        for f in range(x.shape[1] if level < depth else 0):
+            for cut in np.unique(x[rows, f])[:-1]:
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(left), len(right)) >= quality.LEAST_LEAF:
+                    own = gain(left, g, w) + gain(right, g, w) - gain(rows, g, w)
+                    if own > best + 1e-9:
+                        best, parts = own, (left, right)
+        if parts:
+            for p in parts:
+                add(p, level + 1, g, w, out)
+        else:
+            out[rows] = leaf(rows, g, w)
+
+    raw = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p, step = 1 / (1 + np.exp(-raw)), np.zeros(len(y))
+        add(np.arange(len(y)), 0, y - p, p * (1 - p), step)
+        raw += step
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_are_those_of_plain_boosting(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 6)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 4)).astype(np.float32)
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
-    m = quality.train(x, y)
-    assert ((quality.probability(m, x) >= 0.5) == y).mean() > 0.97
+    # fewer values than bins: the histogram holds every threshold
+    x = rng.integers(0, 12, size=(400, 3)).astype(np.float32)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 7) ^ (rng.random(400) < 0.1)).astype(float)
+    assert quality.probability(quality.train(x, y), x) == pytest.approx(grown(x, y, 6, quality.DEPTH), abs=1e-6)
