@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,12 +64,17 @@ def test_mixing(spark):
     full = mix_sources(d, budget_tokens=300, max_repetition=5.0, details=True).groupBy("source").agg(F.sum("n_tokens")).collect()
     assert 270 <= sum(r[1] for r in full) <= 300
     assert mix_sources(d.limit(0)).count() == 0
-    w, b = solve([1000, 10, 1], 3.0, None, None)
-    assert max(x * b / t for x, t in zip(w, [1000, 10, 1])) == pytest.approx(3.0)
-    w, _ = solve([1000, 10, 1], None, 0.5, 100)
-    import math
-
-    assert -sum(x * math.log(x) for x in w) == pytest.approx(0.5)
+    sources = spark.createDataFrame([(1000,), (10,), (1,)], "t long")
+    for repetition, entropy, budget in ((3.0, None, None), (None, 0.5, 100), (3.0, None, 1500)):
+        alpha, factor, hi = solve(sources, repetition, entropy, budget)
+        want = [factor * (t / hi) ** alpha for t in (1000, 10, 1)]
+        p = [x / sum(want) for x in want]
+        if entropy:
+            assert -sum(x * math.log(x) for x in p) == pytest.approx(0.5) and sum(want) == pytest.approx(100)
+        else:
+            assert max(x / t for t, x in zip((1000, 10, 1), want)) == pytest.approx(3.0) and (not budget or sum(want) == pytest.approx(budget))
+    longer = docs(spark, [(1, "w " * 300_000, "a"), (2, "w", "b"), (3, "w " * 200_000, "a")])
+    assert Counter(r["doc_id"] for r in mix_sources(longer).select("doc_id").collect()) == {1: 1, 2: 2, 3: 1}
 
 
 def test_differencing_holds_every_item_and_is_even():
