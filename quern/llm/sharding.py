@@ -20,10 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.plans.scratch import Scratch
+
 DIGITS = 32
 TOLERANCE = 0.001  # of a shard's bytes
-RANGES = 512  # a range holds 1 / RANGES of the rows, or LEAST_ROWS
-LEAST_ROWS = 64
+RANGES, MOST_RANGES = 512, 4096  # ranges of rows that are ranked in one task; their number follows the rows
+LEAST_ROWS, RANGE_ROWS = 64, 500_000
+
+
+def range_rows(n: int) -> int:
+    """Rows of a range at most: RANGE_ROWS, unless there are few ranges or very many."""
+    return max(LEAST_ROWS, n // min(MOST_RANGES, max(RANGES, n // RANGE_ROWS)))
 
 
 def sort_key(text_col: str, id_col: str):
@@ -35,12 +42,12 @@ def sort_key(text_col: str, id_col: str):
 def probe(keys: DataFrame, n_shards: int) -> tuple[list[tuple[str, int, int]], int]:
     """Cells (prefix, bytes, rows) in key order that cut the key space finely enough; total bytes.
     On the driver: 4096 first cells and 256 for each cell probed again, of which there are at most
-    RANGES + n_shards at a depth."""
+    MOST_RANGES + n_shards at a depth."""
     total = keys.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     if not total["n"]:
         return [], 0
     tolerance = total["b"] / n_shards * TOLERANCE
-    most = max(LEAST_ROWS, total["n"] // RANGES)
+    most = range_rows(total["n"])
     depth, done, again = 3, [], None
     while True:
         part = keys if again is None else keys.where(F.substring("key", 1, before).isin([p for p, _ in again]))
@@ -68,10 +75,11 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), sort_key(text_col, id_col).alias("key")).persist()
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), sort_key(text_col, id_col).alias("key"))
+    rows = Scratch(spark).write(rows, "keys")
     cells, total = probe(rows.select("key", "size"), n_shards)
     n_rows = sum(c[2] for c in cells)
-    most = max(LEAST_ROWS, n_rows // RANGES)
+    most = range_rows(n_rows)
     plan, at, shards, used = [], 0, 0, 0
     ranges = 0
     base = in_range = 0
