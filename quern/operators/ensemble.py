@@ -73,12 +73,34 @@ def pivot_runs(preds: DataFrame, runs: list[str]) -> DataFrame:
 
 
 def grid_scores(wide: DataFrame, columns: list[str], points: list[list[float]]) -> DataFrame:
-    """(point, entity_idx, target, score): every entity at every weight vector."""
+    """(point, entity_idx, target, score): every entity at every weight vector, for objectives on ranks."""
     g = wide.sparkSession.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "point int, w array<double>")
     score = sum((F.col("w")[k] * F.col(c) for k, c in enumerate(columns)), F.lit(0.0))
     return wide.crossJoin(F.broadcast(g)).select("point", "entity_idx", "target", score.alias("score"))  # times a fixed grid
 
 
+def grid_quality(wide: DataFrame, columns: list[str], points: list[list[float]]) -> DataFrame:
+    """(point, brier, pearson) of the blends of the columns at every weight vector, from one row of moments:
+    rows are read once, whatever the number of points."""
+    names = [*columns, "target"]
+    x = {n: F.col(n).cast("double") for n in names}
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
+    one = wide.where(F.coalesce(*[F.when(F.col(n).isNull(), True) for n in names], F.lit(False)) == False).agg(  # noqa: E712
+        *[F.avg(x[n]).alias(f"m_{n}") for n in names], *[F.avg(x[a] * x[b]).alias(f"p_{a}_{b}") for a, b in pairs], *[F.covar_pop(x[a], x[b]).alias(f"c_{a}_{b}") for a, b in pairs]
+    )
+    g = wide.sparkSession.createDataFrame([(k, [float(w) for w in p]) for k, p in enumerate(points)], "point int, w array<double>")
+    g = g.crossJoin(F.broadcast(one))  # one row
+
+    def form(kind: str):
+        """The quadratic form of the weights, its product with the target, and the target's own."""
+        w = {c: F.col("w")[k] for k, c in enumerate(columns)}
+        own = sum((w[a] * w[b] * F.col(f"{kind}_{a}_{b}") * (1 if a == b else 2) for a, b in pairs if b != "target"), F.lit(0.0))
+        return own, sum((w[a] * F.col(f"{kind}_{a}_target") for a in columns), F.lit(0.0)), F.col(f"{kind}_target_target")
+
+    p, c = form("p"), form("c")
+    return g.select("point", (p[0] - 2 * p[1] + p[2]).alias("brier"), (c[1] / F.sqrt(c[0] * c[2])).alias("pearson"))
+
+
 #: Objective name to a query of it by point; higher is better.
 OBJECTIVES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "auroc": lambda g: M.auroc(g, ["point"]).select("point", F.col("auroc").alias("value")),

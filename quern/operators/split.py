@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,47 +31,52 @@ def component_features(entities: DataFrame, obs: DataFrame, component: str = "co
     return own.union(counts.select(component, "feature", "value"))
 
 
-def allocate(features: DataFrame, component: str = "component", fractions: dict[str, float] = FRACTIONS, seed: int = SEED) -> DataFrame:
-    """(component, split). The largest component goes to train; the others, largest first, each go where
-    the weighted squared error against the target totals grows least. The fold is sequential by nature:
-    one row for each component meets in one task, counts beside it as a map, after all counting is done
-    in parallel."""
-    packed = features.groupBy(component).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("value").cast("double")))).alias("f"))
+def feature_weight(name: str) -> float:
+    kind = name.partition(":")[0]
+    return {"value_bin": 4.0, "binary": 2.0, "source": 1.5, "entities": 4.0}.get(kind, 1.0)
 
-    def weight(name: str) -> float:
-        return 4.0 if name.startswith("value_bin:") else 2.0 if name.startswith("binary:") else 1.5 if name.startswith("source:") else 1.0
 
-    def tie(c, split: str) -> int:
+def allocate(features: DataFrame, component: str = "component", fractions: dict[str, float] = FRACTIONS, seed: int = SEED) -> DataFrame:
+    """(component, split). The largest component goes to train; the others, largest first, each go where
+    the weighted squared error against the target totals, relative to the targets, grows least.
+
+    The choice depends on all before it, so components stream through one task, in order, a compact row
+    each; what the task holds is a matrix of splits by features. Counting and ordering are distributed."""
+    if set(fractions) != set(SPLITS) or min(fractions.values()) <= 0 or abs(sum(fractions.values()) - 1) > 1e-9:
+        raise ValueError(f"fractions must be positive for {SPLITS} and sum to 1")
+    totals = {r["feature"]: float(r["v"]) for r in features.groupBy("feature").agg(F.sum("value").alias("v")).orderBy("feature").collect()}  # the catalogue of features
+    names = list(totals)
+    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))]) if names else F.lit(None)
+    counts = features.groupBy(component).agg(
+        F.max(F.when(F.col("feature") == "entities", F.col("value"))).alias("e"), F.max(F.when(F.col("feature") == "observations", F.col("value"))).alias("o"),
+        F.collect_list(F.element_at(place, F.col("feature"))).alias("at"), F.collect_list(F.col("value").cast("double")).alias("v"),
+    ) if names else features.select(component).distinct().selectExpr(component, "0 e", "0 o", "cast(array() as array<int>) at", "cast(array() as array<double>) v")
+    share = np.array([fractions[s] for s in SPLITS])
+    goal = np.maximum(share[:, None] * np.array([totals[n] for n in names])[None, :], 1.0) if names else np.ones((3, 0))
+    weight = np.array([feature_weight(n) for n in names])
+
+    def rank(c, split: str) -> int:
         return int.from_bytes(hashlib.sha256(f"{seed}:{c}:{split}".encode()).digest()[:8], "big")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(c, {k: v for k, v in (f.items() if isinstance(f, dict) else f)}) for c, f in zip(pdf[component], pdf["f"])]
-        rows.sort(key=lambda r: (-r[1].get("entities", 0), -r[1].get("observations", 0), r[0]))
-        total: dict[str, float] = {}
-        for _, f in rows:
-            for k, v in f.items():
-                total[k] = total.get(k, 0) + v
-        goal = {s: {k: max(v * fractions[s], 1.0) for k, v in total.items()} for s in SPLITS}
-        have = {s: dict.fromkeys(total, 0.0) for s in SPLITS}
-
-        def cost(f, s):
-            def grow(k):
-                before = have[s][k] - goal[s][k]
-                after = before + f.get(k, 0.0)
-                return (after * after - before * before) / goal[s][k]
-
-            return sum(weight(k) * grow(k) for k in f) + 3.0 * grow("entities")
-
-        out = []
-        for n, (c, f) in enumerate(rows):
-            s = "train" if n == 0 else min(SPLITS, key=lambda s: (cost(f, s), tie(c, s)))
-            for k, v in f.items():
-                have[s][k] += v
-            out.append((c, s))
-        return pd.DataFrame(out, columns=[component, "split"])
+    def run(batches):
+        have, first = np.zeros_like(goal), True
+        for pdf in batches:
+            out = []
+            for c, at, v in zip(pdf[component], pdf["at"], pdf["v"]):
+                at, v = np.asarray(at, np.int64), np.asarray(v, float)
+                # (gap + v) ** 2 - gap ** 2 = v * (2 * gap + v)
+                error = (weight[at] * v * (2 * (have[:, at] - goal[:, at]) + v) / goal[:, at]).sum(1)
+                error = np.round(error, 9)
+                near = np.flatnonzero(error == error.min())
+                k = 0 if first else int(min(near, key=lambda k: rank(c, SPLITS[k])))
+                have[k, at] += v
+                first = False
+                out.append((c, SPLITS[k]))
+            yield pd.DataFrame(out, columns=[component, "split"])
 
     kind = features.schema[component].dataType.simpleString()
-    return packed.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(fold, f"{component} {kind}, split string")
+    ordered = counts.orderBy(F.desc_nulls_last("e"), F.desc_nulls_last("o"), component).select(component, "at", "v")
+    return ordered.coalesce(1).mapInPandas(run, f"{component} {kind}, split string")
 
 
 def split_totals(features: DataFrame, assigned: DataFrame, component: str = "component") -> DataFrame:

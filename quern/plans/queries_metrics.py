@@ -163,7 +163,7 @@ def affine_recalibration(spark, d):
     return Q.affine(m, ["subset"]).select("subset", *r6(slope="slope", intercept="intercept"))
 
 
-BLEND = PRED + ", b AS (SELECT entity_idx, target, score FROM pred WHERE run = 'r0'), p AS (SELECT entity_idx, score FROM pred WHERE run = 'r1' AND entity_idx % 3 <> 0), g AS (SELECT k, k / 20e0 AS alpha FROM range(0, 21) t(k)), e AS (SELECT alpha, b.entity_idx, target, coalesce((1 - alpha) * b.score + alpha * p.score, b.score) AS score FROM b LEFT JOIN p ON b.entity_idx = p.entity_idx, g)"
+BLEND = PRED + ", b AS (SELECT entity_idx, target, score FROM pred WHERE run = 'r0'), p AS (SELECT entity_idx, score FROM pred WHERE run = 'r1' AND entity_idx % 3 <> 0), g AS (SELECT k, k / 100e0 AS alpha FROM range(0, 101) t(k)), e AS (SELECT alpha, b.entity_idx, target, coalesce((1 - alpha) * b.score + alpha * p.score, b.score) AS score FROM b LEFT JOIN p ON b.entity_idx = p.entity_idx, g)"
 
 
 @query(f"WITH {BLEND} SELECT round(alpha, 6) AS alpha, round(avg((score - target) * (score - target)), 6) AS brier FROM e GROUP BY alpha")
@@ -171,7 +171,7 @@ def blend_grid(spark, d):
     """Partial coverage with fallback, over a grid of shares."""
     p = preds(spark, d)
     part = p.where("run = 'r1' and entity_idx % 3 <> 0")
-    g = E.partial_blend(p.where("run = 'r0'").select("entity_idx", "target", "score"), part, [k / 20 for k in range(21)])
+    g = E.partial_blend(p.where("run = 'r0'").select("entity_idx", "target", "score"), part, [k / 100 for k in range(101)])
     return M.brier(g, ["alpha"]).select(*r6(alpha="alpha", brier="brier"))
 
 
@@ -179,19 +179,19 @@ def blend_grid(spark, d):
 def line_search(spark, d):
     """1001 blends of two runs."""
     wide = E.pivot_runs(preds(spark, d).withColumn("target", F.col("y")), list(RUNS))
-    g = E.grid_scores(wide, ["r0", "r1"], [[1 - k / 1000, k / 1000] for k in range(1001)])
-    return g.groupBy("point").agg(F.round(M.corr("target", "score"), 6).alias("pearson"))
+    g = E.grid_quality(wide, ["r0", "r1"], [[1 - k / 1000, k / 1000] for k in range(1001)])
+    return g.select("point", F.round("pearson", 6).alias("pearson"))
 
 
 @query(
     f"WITH {PRED}, w AS (SELECT entity_idx, any_value(target) AS y, max(score) FILTER (run = 'r0') AS a, max(score) FILTER (run = 'r1') AS b, max(score) FILTER (run = 'r3') AS c FROM pred GROUP BY entity_idx), "
-    "g AS (SELECT (i * 11 + j)::INT AS point, i / 10e0 AS u, (1 - i / 10e0) * (j / 10e0) AS v FROM range(0, 11) x(i), range(0, 11) z(j)) SELECT point, round(avg(pow((1 - u - v) * a + u * b + v * c - y, 2)), 6) AS brier FROM w, g GROUP BY point"
+    "g AS (SELECT (i * 101 + j)::INT AS point, i / 100e0 AS u, (1 - i / 100e0) * (j / 100e0) AS v FROM range(0, 101) x(i), range(0, 101) z(j)) SELECT point, round(avg(pow((1 - u - v) * a + u * b + v * c - y, 2)), 6) AS brier FROM w, g GROUP BY point"
 )
 def simplex_grid(spark, d):
     """E5: a grid over two weights, the second within what the first leaves."""
     wide = E.pivot_runs(preds(spark, d), list(RUNS))
-    points = [[1 - u - v, u, v] for u, v in E.simplex_grid(11)]
-    return M.brier(E.grid_scores(wide, ["r0", "r1", "r3"], points), ["point"]).select("point", *r6(brier="brier"))
+    points = [[1 - u - v, u, v] for u, v in E.simplex_grid(101)]
+    return E.grid_quality(wide, ["r0", "r1", "r3"], points).select("point", *r6(brier="brier"))
 
 
 @query()
@@ -294,10 +294,10 @@ def crossfit_platt(spark, d):
     return Q.crossfit_platt(z).select("entity_idx", "fold", *r6(out_of_fold="out_of_fold"))
 
 
-@query(f"WITH {PRED}, p AS (SELECT target, score FROM pred WHERE run = 'r0'), g AS (SELECT DISTINCT unnest(quantile_cont(score, [k / 100e0 for k in range(0, 101)])) AS threshold FROM p), k AS (SELECT threshold, count(*) FILTER (score >= threshold AND target = 1)::DOUBLE AS tp, count(*) FILTER (score >= threshold AND target = 0)::DOUBLE AS fp, count(*) FILTER (target = 1)::DOUBLE AS pp, count(*) FILTER (target = 0)::DOUBLE AS nn FROM p, g GROUP BY threshold), m AS (SELECT threshold, CASE WHEN pp - tp + nn - fp > 0 THEN {MCC} ELSE 0 END AS mcc FROM k) SELECT round(threshold, 6) AS threshold, round(mcc, 6) AS mcc FROM m ORDER BY round(mcc, 12) DESC, threshold LIMIT 1")
+@query(f"WITH {PRED}, p AS (SELECT target, score FROM pred WHERE run = 'r0'), g AS (SELECT DISTINCT unnest(quantile_cont(score, [k / 2000e0 for k in range(0, 2001)])) AS threshold FROM p), k AS (SELECT threshold, count(*) FILTER (score >= threshold AND target = 1)::DOUBLE AS tp, count(*) FILTER (score >= threshold AND target = 0)::DOUBLE AS fp, count(*) FILTER (target = 1)::DOUBLE AS pp, count(*) FILTER (target = 0)::DOUBLE AS nn FROM p, g GROUP BY threshold), m AS (SELECT threshold, CASE WHEN pp - tp + nn - fp > 0 THEN {MCC} ELSE 0 END AS mcc FROM k) SELECT round(threshold, 6) AS threshold, round(mcc, 6) AS mcc FROM m ORDER BY round(mcc, 12) DESC, threshold LIMIT 1")
 def quantile_mcc_threshold(spark, d):
-    """Q7: the best of 101 quantiles."""
-    return Q.quantile_threshold_mcc(preds(spark, d, ["r0"]), 101).select(*r6(threshold="threshold", mcc="mcc"))
+    """Q7: the best of 2,001 quantiles."""
+    return Q.quantile_threshold_mcc(preds(spark, d, ["r0"]), 2001).select(*r6(threshold="threshold", mcc="mcc"))
 
 
 @query(f"WITH {LONG}, k AS (SELECT endpoint, h, count(*) AS k FROM long GROUP BY endpoint, h), t AS (SELECT endpoint, count(*) AS e FROM k GROUP BY endpoint) SELECT doc_id, endpoint, round(1e0 / (k.k * t.e), 9) AS weight, round(1e0 / (k.k * t.e * 2), 9) AS source_weight FROM long JOIN k USING (endpoint, h) JOIN t USING (endpoint)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.descriptors import AMINO_ACIDS, GROUPS, describe
+from quern.functions.descriptors import AMINO_ACIDS, GROUPS, NAMES, described
 from quern.functions.scalar import entropy_bits
 from quern.operators import audit, features, fusion, identity, split
 from quern.operators.graph import connected_components
@@ -25,9 +25,9 @@ RUN = "list_max(list_transform(regexp_split_to_array(s, '[^{0}]+'), lambda x: le
     f"round({RUN.format(GROUPS['charged'])} / {N}, 6) AS longest_charged_run_fraction, round((length(s) - {COUNT.format(AMINO_ACIDS)}) / {N}, 6) AS noncanonical_fraction FROM t"
 )
 def sequence_descriptors(spark, d):
-    """Section 2.10, W4, P8: 35 descriptors of every whole text."""
+    """Section 2.10, W4: 35 descriptors of every whole text."""
     t = table(spark, d, "documents").where("text is not null").select("doc_id", F.upper(F.translate("text", "ßẞ", "")).alias("s"))
-    return t.select("doc_id", *[F.round(c, 6).alias(n) for n, c in describe("s").items()])
+    return described(t, "s").select("doc_id", *[F.round(n, 6).alias(n) for n in NAMES])
 
 
 @query(f"WITH {SHORT}, c AS (SELECT entity_idx, length, ch, count(*) AS k FROM (SELECT entity_idx, length, unnest(string_split(sequence, '')) AS ch FROM short) GROUP BY 1, 2, 3) SELECT entity_idx, round(-sum(k / length * log2(k / length)), 6) AS entropy FROM c GROUP BY entity_idx")
@@ -45,26 +45,26 @@ def motif_filter(spark, d):
 @query(f"WITH RECURSIVE {LCS} SELECT i, j, round(si, 9) AS si FROM si WHERE si >= 0.3")
 def si_edges(spark, d):
     """SI1 - SI6, J7, J8, F9: exact identity edges with lossless pruning."""
-    return identity.si_edges(short(spark, d), 0.30, size=16).select("i", "j", F.round("si", 9).alias("si"))
+    return identity.si_edges(short(spark, d), 0.30).select("i", "j", F.round("si", 9).alias("si"))
 
 
 @query(f"WITH RECURSIVE {LCS}, b AS (SELECT i, j, si FROM si UNION ALL SELECT j, i, si FROM si) SELECT i, j, round(si, 9) AS si FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY si DESC, j) AS r FROM b) WHERE r = 1")
 def si_nearest(spark, d):
     """SI7, W7: nearest neighbours over unpruned pairs."""
-    return identity.nearest(identity.si_edges(short(spark, d), 0.0, size=16)).select("i", "j", F.round("si", 9).alias("si"))
+    return identity.nearest(identity.si_edges(short(spark, d), 0.0)).select("i", "j", F.round("si", 9).alias("si"))
 
 
 @query(f"WITH RECURSIVE {LCS} SELECT count(*) AS pairs, round(sum(si), 6) AS checksum FROM si")
 def si_checksum(spark, d):
     """SI9: pairs and the sum of identities."""
-    return identity.si_edges(short(spark, d), 0.0, size=16).agg(F.count("*").alias("pairs"), F.round(F.sum("si"), 6).alias("checksum"))
+    return identity.si_edges(short(spark, d), 0.0).agg(F.count("*").alias("pairs"), F.round(F.sum("si"), 6).alias("checksum"))
 
 
 COMPONENTS = LCS + ", e AS (SELECT i, j FROM si WHERE si >= {0} UNION ALL SELECT j, i FROM si WHERE si >= {0}), r(node, root) AS (SELECT entity_idx, entity_idx FROM short UNION SELECT e.j, r.root FROM r JOIN e ON r.node = e.i), comp AS (SELECT node, min(root) AS root FROM r GROUP BY node)"
 
 
 def edges(spark, d, least=0.30):
-    return identity.si_edges(short(spark, d), least, size=16)
+    return identity.si_edges(short(spark, d), least)
 
 
 def components(spark, d, least):
@@ -109,10 +109,10 @@ def degrees(spark, d):
     return audit.degrees(edges(spark, d, 0.5), short(spark, d)).select("entity_idx", "degree", "cross_source_degree", "neighbor_min_length", "neighbor_max_length")
 
 
-@query(f"WITH RECURSIVE {DEGREES} SELECT g.entity_idx, degree, length FROM g JOIN short USING (entity_idx) ORDER BY degree DESC, length, sequence_sha256 LIMIT 20")
+@query(f"WITH RECURSIVE {DEGREES} SELECT g.entity_idx, degree, length FROM g JOIN short USING (entity_idx) ORDER BY degree DESC, length, sequence_sha256 LIMIT 500")
 def topn_bridge(spark, d):
     """The best connected entities."""
-    return audit.bridges(audit.degrees(edges(spark, d, 0.5), short(spark, d)), 20).select("entity_idx", "degree", "length")
+    return audit.bridges(audit.degrees(edges(spark, d, 0.5), short(spark, d)), 500).select("entity_idx", "degree", "length")
 
 
 @query(f"WITH RECURSIVE {COMPONENTS.format(0.65)}, b AS (SELECT root, count(*) AS k FROM comp GROUP BY root ORDER BY k DESC, root LIMIT 1) SELECT comp.root = (SELECT root FROM b) AS is_giant, count(*) AS entities, round(median(length), 6) AS median_length, count(*) FILTER (contains(sequence, 'X')) AS with_x, count(*) FILTER (contains(sequence, 'B')) AS with_b FROM comp JOIN short ON comp.node = short.entity_idx GROUP BY 1")
@@ -166,10 +166,10 @@ def cross_split_pairs(spark, d):
     return split.cross_pairs(short(spark, d).withColumn("split", F.expr(SPLIT)))
 
 
-@query(f"WITH RECURSIVE {LCS}, s AS (SELECT entity_idx, {SPLIT} AS split FROM short) SELECT i, j, round(si, 9) AS si FROM si JOIN s a ON a.entity_idx = i JOIN s b ON b.entity_idx = j WHERE a.split <> b.split ORDER BY si.si DESC, i DESC, j DESC LIMIT 25")
+@query(f"WITH RECURSIVE {LCS}, s AS (SELECT entity_idx, {SPLIT} AS split FROM short) SELECT i, j, round(si, 9) AS si FROM si JOIN s a ON a.entity_idx = i JOIN s b ON b.entity_idx = j WHERE a.split <> b.split ORDER BY si.si DESC, i DESC, j DESC LIMIT 1000")
 def closest_cross_pairs(spark, d):
     """O2: the closest pairs across splits."""
-    return split.closest_cross(edges(spark, d, 0.0), short(spark, d).withColumn("split", F.expr(SPLIT)), 25).select("i", "j", F.round("si", 9).alias("si"))
+    return split.closest_cross(edges(spark, d, 0.0), short(spark, d).withColumn("split", F.expr(SPLIT)), 1000).select("i", "j", F.round("si", 9).alias("si"))
 
 
 @query(f"WITH {OBS}, t AS (SELECT *, n::DOUBLE AS x, (doc_id % 100)::DOUBLE AS z FROM obs), m AS (SELECT avg(x) AS mx, greatest(stddev_pop(x), 1e-6) AS sx, avg(z) AS mz, greatest(stddev_pop(z), 1e-6) AS sz FROM t WHERE doc_id % 4 <> 0) SELECT doc_id, round((x - mx) / sx, 6) AS z_x, round((z - mz) / sz, 6) AS z_z FROM t, m")
@@ -260,9 +260,8 @@ def forest_regression(spark, d):
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     o = obs(spark, d)
-    cols = describe("s")
-    x = o.select("doc_id", F.upper("seq").alias("s"), F.col("quality").cast("double").alias("label")).select("doc_id", "label", *[c.alias(n) for n, c in cols.items()])
-    v = VectorAssembler(inputCols=list(cols), outputCol="features").transform(x).select("doc_id", "label", "features").cache()
+    x = described(o.select("doc_id", F.col("quality").cast("double").alias("label"), F.upper("seq").alias("s")), "s")
+    v = VectorAssembler(inputCols=NAMES, outputCol="features").transform(x).select("doc_id", "label", "features")
     train = v.where("doc_id % 4 <> 0")
     out = RandomForestRegressor(numTrees=20, maxDepth=4, seed=1, predictionCol="forest").fit(train).transform(v)
     out = GBTRegressor(maxIter=8, maxDepth=3, seed=1, predictionCol="boosted").fit(train).transform(out)

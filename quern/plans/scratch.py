@@ -21,10 +21,12 @@ ROWS_PER_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of this process if it is unset."""
+    """The session's spark.checkpoint.dir; in a local session without it, a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="quern-scratch-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

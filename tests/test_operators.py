@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
-from quern.functions.descriptors import describe
+from quern.functions.descriptors import described
 from quern.functions.scalar import logit, sigmoid
 from quern.operators import audit, calibrate, ensemble, features, identity, manifest, resume, sampling, split
 from quern.operators.graph import connected_components
@@ -33,6 +33,10 @@ def test_identity_values_and_brute_force():
     for _ in range(300):
         a, b = ("".join(r.choices("ACDE", k=r.randrange(0, 40))) for _ in range(2))
         assert identity.lcs(a, b) == lcs_table(a, b)
+    r = random.Random(4)
+    left, right = (["".join(r.choices("ACDEé", k=r.choice([0, 1, 63, 64, 65, 130, 200]))) for _ in range(9)] for _ in range(2))
+    i, j, si = identity.tile((np.arange(9), left), (np.arange(100, 109), right), False, 0.0)
+    assert len(i) == 81 and all(v == pytest.approx(identity.sequence_identity(left[p], right[q - 100])) for p, q, v in zip(i, j, si))
 
 
 def test_identity_edges_are_exact(spark):
@@ -228,7 +232,8 @@ def test_surface_patches(spark):
 
 def test_descriptors(spark):
     s = "AVKKDX"
-    row = spark.createDataFrame([(s,), ("",)], "s string").select(*[c.alias(n) for n, c in describe("s").items()]).collect()
+    row = described(spark.createDataFrame([(s,), ("",), ("ÄKKÄVAD",), (None,)], "s string").coalesce(1), "s").collect()
+    assert row[2]["group_fraction_aliphatic"] == pytest.approx(2 / 7) and row[2]["longest_hydrophobic_run_fraction"] == pytest.approx(2 / 7) and row[3] == row[1]
     assert len(row[0]) == 35 and row[0]["aa_fraction_K"] == pytest.approx(2 / 6) and row[0]["net_charge_fraction"] == pytest.approx(1 / 6)
     assert row[0]["longest_charged_run_fraction"] == pytest.approx(3 / 6) and row[0]["noncanonical_fraction"] == pytest.approx(1 / 6)
     assert row[1]["log1p_length"] == 0 and row[1]["longest_hydrophobic_run_fraction"] == 0
