@@ -4,10 +4,12 @@ Vectors are extended by one component to equal length, so the largest inner prod
 distance, and projected to M dimensions by a Gaussian (2-stable) matrix: the squared projected distance
 of two vectors at distance r is r**2 times a chi-square variable of M degrees. A kd-tree over the
 projected points is fitted on a bounded sample; every row is indexed in its leaf, and leaves are divided
-into blocks of bounded size. A query first verifies its own block, which bounds the distance of its
-k-th neighbour. It then goes to the leaves in reach, and in each block takes in projected neighbours
-in shells of growing projected distance; it stops where a neighbour nearer than the k-th found would have
-shown a smaller projected distance with probability CONFIDENCE. Verified products are exact.
+into blocks of bounded size. A query first searches its own block, which bounds the distance of its
+k-th neighbour, and then the blocks of the leaves in reach. Within a block the tree goes on to leaves of
+about STEP rows, at every size of the table: a query takes in its projected neighbours leaf by leaf, in
+order of projected distance, and verifies them; it stops where a neighbour nearer than the k-th found
+would have shown a smaller projected distance with the probability of CONFIDENCE_Z. Queries of one leaf are
+verified together. Scores are exact. Of equal vectors only the k + 1 smallest ids can be among the nearest.
 
 Queries travel in blocks, data blocks stay packed, and a block returns at most k rows of a query. The
 tree (LEAVES leaves) and the sample (SAMPLE rows) are the only things on the driver.
@@ -38,6 +40,7 @@ M = 12
 CONFIDENCE_Z = 2.05  # normal quantile of the stopping test's probability, 0.98
 SAMPLE, LEAVES, LEAF = 32_768, 1024, 2048
 BLOCK = 4096
+STEP = 64  # rows that a query verifies at a time, about
 STRAND = 64  # query blocks that meet a data block in one task
 
 
@@ -71,26 +74,75 @@ def leaf_of(p: np.ndarray, dims: np.ndarray, cuts: np.ndarray, depth: int) -> np
     return node - ((1 << depth) - 1)
 
 
-def top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, best first, ties to the smaller id."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        live = np.flatnonzero(score >= least)
-    else:
-        live = np.arange(len(score))
-    return live[np.lexsort((ids[live], -score[live]))[:k]]
-
-
-def nearest(q: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, near: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The exact k best of the candidates near; rough holds their products but for rounding."""
-    near = near[ids[near] != qid]
-    if len(near) > k:
-        r = rough[near]
-        least = np.partition(r, len(r) - k)[len(r) - k]
-        near = near[r >= least - 1e-9 * (1 + abs(least))]
-    exact = dots(x[near], np.broadcast_to(q, (len(near), len(q))))
-    best = top(ids[near], exact, k)
-    return ids[near[best]], exact[best]
+def distinct(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block by id, of equal vectors the k + 1 smallest ids, of equal ids and vectors one."""
+    order = np.argsort(ids, kind="stable")
+    kinds = np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    _, kind = np.unique(kinds, return_inverse=True)
+    by = np.lexsort((ids[order], kind))
+    new = np.ones(len(by), bool)
+    new[1:] = (kind[by][1:] != kind[by][:-1]) | (ids[order][by][1:] != ids[order][by][:-1])
+    by = by[new]
+    first = np.ones(len(by), bool)
+    first[1:] = kind[by][1:] != kind[by][:-1]
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return np.sort(order[by[np.arange(len(by)) - start <= k]])
+
+
+class Block:
+    """Rows of a block under a kd-tree of their projections."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, project, k: int):
+        live = distinct(ids, x, k)
+        self.ids, self.x, self.project, self.k = ids[live], x[live], project, k
+        p = project(self.x, False)
+        depth = max(0, math.ceil(math.log2(max(len(p), 1) / STEP)))
+        leaf = leaf_of(p, *kd_tree(p, depth)[:2], depth)
+        order = np.argsort(leaf, kind="stable")
+        self.leaves = [own for own in np.split(order, np.searchsorted(leaf[order], np.arange(1, 1 << depth))) if len(own)]
+        self.low, self.high = (np.array([f(p[own], axis=0) for own in self.leaves]) for f in (np.min, np.max))
+
+    def search(self, q: np.ndarray, qid: np.ndarray, longest: float, reach: float, kth: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, int]:
+        """The k best rows of each query that reach its k-th score so far; the k-th scores after; rows verified."""
+        k, n = self.k, len(q)
+        p, size = self.project(q, True), (q * q).sum(1) + longest
+        gap = np.empty((n, len(self.leaves)))
+        for at in range(len(self.leaves)):
+            out = np.maximum(np.maximum(self.low[at] - p, p - self.high[at]), 0)
+            gap[:, at] = (out * out).sum(1)
+        turn = np.argsort(gap, axis=1, kind="stable")
+        best, kth = np.full((n, k), -np.inf), kth.copy()
+        slack = 1e-9 * (1 + size)
+        found, verified, live = [], 0, np.arange(n)
+        for r in range(len(self.leaves)):
+            leaf = turn[live, r]
+            stay = gap[live, leaf] <= reach * np.maximum(size[live] - 2 * kth[live], 0)
+            live, leaf = live[stay], leaf[stay]
+            if not len(live):
+                break
+            order = np.argsort(leaf, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                rows, asks = self.leaves[leaf[own[0]]], live[own]
+                rough = q[asks] @ self.x[rows].T
+                rough[self.ids[rows][None, :] == qid[asks][:, None]] = -np.inf
+                verified += rough.size
+                both = np.concatenate([best[asks], rough], axis=1)
+                best[asks] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                kth[asks] = np.maximum(kth[asks], best[asks].min(1))
+                i, j = np.nonzero((rough >= (kth[asks] - slack[asks])[:, None]) & np.isfinite(rough))
+                found.append((asks[i], rows[j], rough[i, j]))
+        if not found:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}), kth, verified
+        i, j, rough = (np.concatenate(c) for c in zip(*found))
+        near = rough >= kth[i] - slack[i]
+        i, j = i[near], j[near]
+        exact = dots(self.x[j], q[i])
+        order = np.lexsort((self.ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.ones(len(i), bool)
+        first[1:] = i[1:] != i[:-1]
+        keep = np.arange(len(i)) - np.flatnonzero(first)[np.cumsum(first) - 1] < k
+        return pd.DataFrame({"query_id": qid[i[keep]], "vec_id": self.ids[j[keep]], "score": exact[keep]}), kth, verified
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", m: int = M) -> DataFrame:
@@ -134,22 +186,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     corners = (tree[2], tree[3])
 
     def pack(key, pdf):
-        pdf = pdf.drop_duplicates(["id", "v"])
         ids, query = pdf["id"].to_numpy(), pdf["q"].fillna(False).to_numpy(bool)
         x = np.frombuffer(b"".join(pdf["v"]), float).reshape(-1, dim)
         block = int(key[0])
-        out = [(block, -1, "data", pickle.dumps((ids, x)))]
         asks = np.flatnonzero(query)
+        asks = asks[distinct(ids[asks], x[asks], len(asks))]
+        held = Block(ids, x, projected, k)
+        out = [(block, -1, "data", pickle.dumps((held.ids, held.x)))]
         if len(asks):
             q, qid = x[asks], ids[asks]
-            found, kth = [], np.full(len(q), -np.inf)
-            rough = q @ x.T
-            for i in range(len(q)):
-                got, s = nearest(q[i], qid[i], x, ids, np.arange(len(x)), rough[i], k)
-                found.append(pd.DataFrame({"query_id": qid[i], "vec_id": got, "score": s}))
-                if len(s) == k:
-                    kth[i] = s[-1]
-            out.append((block, -2, "found", pickle.dumps(pd.concat(found))))
+            found, kth, _ = held.search(q, qid, longest, reach, np.full(len(q), -np.inf))
+            out.append((block, -2, "found", pickle.dumps(found)))
             p = projected(q, True)
             r2 = reach * np.maximum((q * q).sum(1) + longest - 2 * kth, 0)
             for leaf in blocks:
@@ -173,34 +220,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def match(key, pdf):
         data = [b for kind, b in zip(pdf["kind"], pdf["body"]) if kind == "data"]
-        asks = [b for kind, b in zip(pdf["kind"], pdf["body"]) if kind == "ask"]
-        out = []
-        if data and asks:
-            ids, x = pickle.loads(data[0])
-            px = projected(x, False)
-            px2 = (px * px).sum(1)
-            for body in asks:
-                qid, q, kth = pickle.loads(body)
-                pq = projected(q, True)
-                d2 = px2[None, :] - 2 * (pq @ px.T) + (pq * pq).sum(1)[:, None]
-                q2 = (q * q).sum(1) + longest
-                rough = q @ x.T
-                for i in range(len(q)):
-                    least, inner, best = kth[i], -np.inf, (np.zeros(0, np.int64), np.zeros(0))
-                    for share in (0.5, 1.0):
-                        outer = share * reach * max(q2[i] - 2 * least, 0)
-                        shell = np.flatnonzero((d2[i] > inner) & (d2[i] <= outer) & (rough[i] >= least - 1e-9 * (1 + abs(least) if np.isfinite(least) else 1)))
-                        if len(shell):
-                            got, s = nearest(q[i], qid[i], x, ids, shell, rough[i], k)
-                            got, s = np.concatenate([best[0], got]), np.concatenate([best[1], s])
-                            b = top(got, s, k)
-                            best = got[b], s[b]
-                            if len(b) == k:
-                                least = max(least, best[1][-1])
-                        inner = max(inner, outer)
-                    if len(best[0]):
-                        out.append(pd.DataFrame({"query_id": qid[i], "vec_id": best[0], "score": best[1]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        asks = [pickle.loads(b) for kind, b in zip(pdf["kind"], pdf["body"]) if kind == "ask"]
+        if not data or not asks:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        qid, q, kth = (np.concatenate(c) for c in zip(*asks))
+        return Block(*pickle.loads(data[0]), projected, k).search(q, qid, longest, reach, kth)[0]
 
     data = packed.where("kind = 'data'").withColumn("strand", F.explode(F.sequence(F.lit(0), F.lit(strands - 1))))
     met = data.select("block", "strand", "kind", "body").union(packed.where("kind = 'ask'").select("block", "strand", "kind", "body"))

@@ -30,6 +30,7 @@ def test_search_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF", 40)
     monkeypatch.setattr(ann, "BLOCK", 60)
     monkeypatch.setattr(ann, "STRAND", 3)
+    monkeypatch.setattr(ann, "STEP", 8)
     ids, x = clusters()
     d = frame(spark, ids, x, ODD + [(40, [float(a) for a in x[40]])])
     got = defaultdict(list)
@@ -86,7 +87,7 @@ def test_lattice_dedup_against_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(lattice_dedup, "BLOCK", block)
     monkeypatch.setattr(lattice_dedup, "SMALL", small)
     ids, x = clusters(4)
-    got = lattice_dedup.near_duplicates(frame(spark, ids, x, ODD), probes=12).collect()
+    got = lattice_dedup.near_duplicates(frame(spark, ids, x, ODD)).collect()
     truth = brute_links(ids, x)
     by = {r["vec_id"]: r for r in got}
     assert len(got) == len(ids) + len(ODD)
