@@ -13,7 +13,7 @@ def task_entity_weights(obs: DataFrame, task: str = "task", entity: str = "entit
     """weight = 1 / (observations of the entity in the task * entities of the task)."""
     per = obs.groupBy(task, entity).agg(F.count("*").alias("_k"))
     tasks = per.groupBy(task).agg(F.count("*").alias("_e"))
-    return obs.join(per, [task, entity]).join(F.broadcast(tasks), task).withColumn("weight", 1 / (F.col("_k") * F.col("_e"))).drop("_k", "_e")
+    return obs.join(per, [task, entity]).join(tasks, task).withColumn("weight", 1 / (F.col("_k") * F.col("_e"))).drop("_k", "_e")
 
 
 def source_weights(obs: DataFrame, source: str = "endpoint", entity: str = "entity", sources: int = 3) -> DataFrame:
@@ -26,17 +26,23 @@ def class_entity_weights(obs: DataFrame, label: str = "label", entity: str = "en
     per = obs.groupBy(entity).agg(F.count("*").alias("_k"))
     j = obs.join(per, entity).withColumn("_m", 1 / F.col("_k"))
     mass = j.groupBy(label).agg(F.sum("_m").alias("_c"))
-    return j.join(F.broadcast(mass), label).withColumn("weight", F.col("_m") / F.col("_c")).drop("_k", "_m", "_c")
+    return j.join(mass, label).withColumn("weight", F.col("_m") / F.col("_c")).drop("_k", "_m", "_c")
 
 
 def inverse_class_weights(obs: DataFrame, label: str = "label") -> DataFrame:
     c = obs.groupBy(label).agg(F.count("*").alias("_k"))
-    return obs.join(F.broadcast(c), label).withColumn("weight", 1 / F.col("_k")).drop("_k")
+    return obs.join(c, label).withColumn("weight", 1 / F.col("_k")).drop("_k")
 
 
-def uniform(seed: int, *cols: str) -> Column:
+def drawn(*parts) -> Column:
+    """52 bits that depend on the parts only: the first 13 hexadecimal digits of the md5 of them joined by ':'."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def uniform(seed: int, *cols) -> Column:
     """A reproducible number in (0, 1) for each row."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return (drawn(seed, *[F.col(c) if isinstance(c, str) else c for c in cols]) + 0.5) / float(1 << 52)
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, seed: int, key: str) -> DataFrame:
@@ -64,7 +70,7 @@ def length_batches(df: DataFrame, length: str, size: int, pool: int, seed: int,
     """(shard, batch): rows in a random order by shard, pools of `pool` batches sorted by length and cut."""
     from pyspark.sql import Window as W
 
-    s = df.withColumns({"shard": F.pmod(F.xxhash64(F.lit(seed), key), F.lit(shards)).cast("int"), "_u": uniform(seed, key)})
+    s = df.withColumns({"shard": F.pmod(drawn(seed, "shard", F.col(key)), F.lit(shards)).cast("int"), "_u": uniform(seed, key)})
     s = s.withColumn("_pool", F.floor((F.row_number().over(W.partitionBy("shard").orderBy("_u", key)) - 1) / (size * pool)))
     r = F.row_number().over(W.partitionBy("shard", "_pool").orderBy(length, key)) - 1
     return s.withColumn("batch", F.col("_pool") * pool + F.floor(r / size)).drop("_u", "_pool")
@@ -73,7 +79,7 @@ def length_batches(df: DataFrame, length: str, size: int, pool: int, seed: int,
 def budget_batches(df: DataFrame, key: str, length: str, budget: int, extra: int = 2, shards: int = 64) -> DataFrame:
     """(key, length, shard, batch): in each shard, by length, a batch grows while (longest + extra) * rows
     stays within the budget. The fold streams over sorted rows of a partition."""
-    d = df.select(key, length).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    d = df.select(key, length).withColumn("shard", F.pmod(drawn("shard", F.col(key)), F.lit(shards)).cast("int"))
     d = d.repartition(shards, "shard").sortWithinPartitions("shard", length, key)
 
     def run(batches):
@@ -125,7 +131,7 @@ def regression_rank_loss(preds: DataFrame, by: list[str], key: str, gap: float =
 
 def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 1) -> DataFrame:
     """(low, mean, high): the central 95% of means under Poisson resampling, all rounds in one pass."""
-    u = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: (F.pmod(F.xxhash64(F.lit(seed), F.col(key), r), F.lit(1 << 52)) + 0.5) / float(1 << 52))
+    u = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: uniform(seed, key, r))
     cuts, p, c = [], float(np.exp(-1)), 0.0
     for k in range(8):
         c += p

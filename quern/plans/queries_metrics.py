@@ -151,7 +151,7 @@ SUBSETS = PRED + ", s AS (SELECT m AS subset, 'r' || k AS run FROM range(1, 16)
 
 @query(f"WITH {SUBSETS} SELECT p.subset, round(sum(CASE WHEN round(p.score, 12) > round(q.score, 12) THEN 1 WHEN round(p.score, 12) = round(q.score, 12) THEN 0.5e0 ELSE 0 END) / count(*), 6) AS auroc FROM e p JOIN e q ON p.subset = q.subset AND p.target = 1 AND q.target = 0 GROUP BY p.subset")
 def ensemble_subsets(spark, d):
-    """Every subset's mean score, ranked by AUROC."""
+    """Every subset's mean score, ranked by AUROC."""
     m = E.subset_means(preds(spark, d), list(RUNS)).withColumn("score", F.round("score", 12))
     return M.auroc(m, ["subset"]).select("subset", *r6(auroc="auroc")).orderBy(F.desc("auroc"))
 
@@ -196,7 +196,7 @@ def simplex_grid(spark, d):
 
 @query()
 def coordinate_ascent_auroc(spark, d):
-    """Weights of three candidates on a base run."""
+    """Weights of three candidates on a base run."""
     wide = E.pivot_runs(preds(spark, d), list(RUNS)).cache()
     w, best = E.coordinate_ascent(wide, "r2", ["r0", "r1", "r3"], "auroc", np.linspace(0, 0.5, 11), cap=0.75, sweeps=2)
     return spark.createDataFrame([(*w, best)], "r0 double, r1 double, r3 double, auroc double")
@@ -317,24 +317,44 @@ def class_weights(spark, d):
     return a.join(S.inverse_class_weights(o, "quality").select("doc_id", F.round("weight", 9).alias("class_weight")), "doc_id")
 
 
-@query()
+def bits(text: str) -> str:
+    """SQL of sampling.drawn over a text expression."""
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+
+def length_batches_sql(rows: str, size: int, pool: int, seed: int, shards: int) -> str:
+    return (
+        f"b AS (SELECT doc_id, n, {bits(f"'{seed}:shard:' || doc_id")} % {shards} AS shard, {bits(f"'{seed}:' || doc_id")} AS u FROM {rows}), "
+        f"p AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY u, doc_id) - 1) // {size * pool} AS pool FROM b) "
+        f"SELECT doc_id, n, shard::INT AS shard, pool * {pool} + (row_number() OVER (PARTITION BY shard, pool ORDER BY n, doc_id) - 1) // {size} AS batch FROM p"
+    )
+
+
+CLASS = "w AS (SELECT doc_id, n, 1e0 / count(*) OVER (PARTITION BY quality) AS weight FROM obs)"
+UNIFORM = f"({bits("'7:' || doc_id")} + 0.5e0) / 4503599627370496e0"
+
+
+@query(f"WITH {OBS}, {CLASS}, s AS (SELECT doc_id, n FROM w ORDER BY -ln({UNIFORM}) / weight, doc_id LIMIT 200), " + length_batches_sql("s", 8, 20, 7, 4))
 def weighted_sampling(spark, d):
     """A weighted sample without replacement, in batches sorted by length."""
     o = S.inverse_class_weights(obs(spark, d), "quality")
     return S.length_batches(S.weighted_sample(o, "weight", 200, 7, "doc_id"), "n", 8, 20, 7, "doc_id", 4).select("doc_id", "n", "shard", "batch")
 
 
-@query()
+@query(
+    f"WITH {OBS}, {CLASS}, m AS (SELECT doc_id, {UNIFORM} AS u, weight / sum(weight) OVER () * 300 AS m FROM w), "
+    "c AS (SELECT doc_id, u, k, sum(exp(-m) * pow(m, k) / factorial(k::INT)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM m, range(0, 30) t(k)) SELECT doc_id, (k + 1)::INT AS draw FROM c WHERE u > upto"
+)
 def resampling(spark, d):
     """N5 with replacement, by Poisson counts."""
     o = S.inverse_class_weights(obs(spark, d), "quality")
     return S.poisson_resample(o, "weight", 300, 7, "doc_id").select("doc_id", "draw")
 
 
-@query()
+@query(f"WITH {OBS}, " + length_batches_sql("obs", 16, 10, 1, 4))
 def permuted_batches(spark, d):
     """A uniform permutation, bucketed by length."""
-    return S.length_batches(obs(spark, d), "n", 16, 10, 1, "doc_id").select("doc_id", "n", "shard", "batch")
+    return S.length_batches(obs(spark, d), "n", 16, 10, 1, "doc_id", 4).select("doc_id", "n", "shard", "batch")
 
 
 @query(f"WITH {PRED}, t AS (SELECT CASE WHEN run = 'r3' THEN 'regression' ELSE run END AS task, score AS s, CASE WHEN run = 'r3' THEN y ELSE target END AS t FROM pred), l AS (SELECT task, avg(CASE WHEN task = 'regression' THEN CASE WHEN abs(s - t) < 0.1e0 THEN 0.5e0 * pow(s - t, 2) / 0.1e0 ELSE abs(s - t) - 0.05e0 END ELSE greatest(s, 0) + ln(1 + exp(-abs(s))) - s * t END) AS l FROM t GROUP BY task) SELECT round(avg(l), 6) AS loss FROM l")
@@ -381,7 +401,10 @@ def position_encoding(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), *r6(**{f"c{k}": c for k, c in enumerate(sinusoid(F.col("n_nationkey").cast("double"), 8))}))
 
 
-@query()
+@query(
+    f"WITH {PRED}, c AS (SELECT sum(exp(-1e0) / factorial(k::INT)) OVER (ORDER BY k) AS upto FROM range(0, 8) t(k)), u AS (SELECT r, score, ({bits("'1:' || entity_idx || ':' || r")} + 0.5e0) / 4503599627370496e0 AS u FROM pred, range(1, 201) t(r) WHERE run = 'r0'), "
+    "w AS (SELECT r, score, (SELECT count(*) FROM c WHERE u > upto) AS w FROM u), m AS (SELECT sum(score * w) / sum(w) AS m FROM w WHERE w > 0 GROUP BY r) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high FROM m"
+)
 def bootstrap_interval(spark, d):
     """Poisson bootstrap of a mean."""
     return S.bootstrap(preds(spark, d, ["r0"]), "score", "entity_idx").select(*r6(low="low", mean="mean", high="high"))

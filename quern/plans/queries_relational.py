@@ -31,7 +31,7 @@ def union(spark, d):
     "(SELECT sha256(trim(text)) AS sequence_sha256, any_value(length(trim(text))) AS length, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1)"
 )
 def entity_manifest(spark, d):
-    """Distinct texts by hash, numbered densely in hash order."""
+    """Distinct texts by hash, numbered densely in hash order."""
     t = table(spark, d, "documents").where("text is not null").select(sequence_hash(F.col("text"), upper=False).alias("sequence_sha256"), F.length(F.trim("text")).cast("long").alias("length"))
     e = number_by_hash(t.groupBy("sequence_sha256").agg(F.first("length").alias("length"), F.count("*").alias("copies")), "sequence_sha256", "entity_idx")
     return e.select("entity_idx", F.format_string("entity:%06d", F.col("entity_idx") + 1).alias("entity_id"), "sequence_sha256", "length", "copies")
@@ -313,7 +313,7 @@ def strided_shards(spark, d):
 
 @query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
 def set_operations(spark, d):
-    """Intersection and difference of key sets."""
+    """Intersection and difference of key sets."""
     c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select("s_nationkey")
     return c.intersect(s).subtract(table(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
 
@@ -356,14 +356,18 @@ def shard_cover(spark, d):
 
 @query("SELECT k::INT AS shard FROM range(0, 8) t(k) WHERE k IN (2, 5, 7)")
 def pending_shards(spark, d):
-    """Shards without a marker, or whose rows do not match it."""
+    """Shards without a marker, or whose rows do not match it."""
     e = table(spark, d, "events").select("event_id", "value", F.pmod("event_id", F.lit(8)).cast("int").alias("shard"))
     marks = sinks.checksums(e, "shard").where("shard <> 2")
     damaged = e.where("not (shard = 5 and event_id < 100)").withColumn("value", F.when((F.col("shard") == 7) & (F.col("event_id") == 7), -1.0).otherwise(F.col("value")))
     return resume.pending(spark.range(8).select(F.col("id").cast("int").alias("shard")), resume.valid_shards(damaged, marks, "shard"), "shard")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {OBS}, o AS (SELECT doc_id, n, shard, row_number() OVER (PARTITION BY shard ORDER BY n, doc_id) AS r FROM (SELECT doc_id, n, ('0x' || substr(md5('shard:' || doc_id), 1, 13))::BIGINT % 4 AS shard FROM obs)), "
+    "f AS (SELECT doc_id, n, shard, r, 0::BIGINT AS batch, 1::BIGINT AS held FROM o WHERE r = 1 UNION ALL SELECT o.doc_id, o.n, o.shard, o.r, CASE WHEN (o.n + 2) * (f.held + 1) > 8192 THEN f.batch + 1 ELSE f.batch END, "
+    "CASE WHEN (o.n + 2) * (f.held + 1) > 8192 THEN 1 ELSE f.held + 1 END FROM f JOIN o ON o.shard = f.shard AND o.r = f.r + 1) SELECT doc_id, n, shard::INT AS shard, batch FROM f"
+)
 def budget_batches(spark, d):
     """Batches by length within a budget."""
     return sampling.budget_batches(obs(spark, d).select("doc_id", "n"), "doc_id", "n", 8192, shards=4)
