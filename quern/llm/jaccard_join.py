@@ -390,3 +390,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 def op2_jaccard_join(spark, d):
     return near_duplicates(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, hash(x) AS h, x FROM (SELECT doc_id, sh, unnest(sh) AS x FROM s)),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.h = b.h AND a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+r(node, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.j, r.root FROM r JOIN l ON r.node = l.i WHERE r.root < l.j),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, c.root AS component_id FROM s JOIN c ON c.node = s.doc_id
+"""

@@ -11,4 +11,4 @@ QUERIES = {
         sharding.op7_sharding, lattice_dedup.op8_lattice_dedup, line_dedup.op9_line_dedup, language_id.op10_language_id,
     )
 }
-ORACLES = {"op4_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op4_mixing": mixing.ORACLE, "op8_lattice_dedup": lattice_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
