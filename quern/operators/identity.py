@@ -157,7 +157,9 @@ def compare(b: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
                 i, j, si = tile(pickle.loads(left), pickle.loads(right), bi == bj, threshold)
                 yield pd.DataFrame({"shard": np.full(len(i), shard), "i": i, "j": j, "si": si})
 
-    return joined.select("bi", "bj", "shard", "left", "right").mapInPandas(run, "shard int, i long, j long, si double")
+    # tiles are costly and few bytes: dealt evenly, or a task would get all tiles of its blocks
+    parts = 4 * int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.select("bi", "bj", "shard", "left", "right").repartition(parts).mapInPandas(run, "shard int, i long, j long, si double")
 
 
 def si_edges(entities: DataFrame, threshold: float = 0.30, size: int = BLOCK) -> DataFrame:
