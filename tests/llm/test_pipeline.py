@@ -61,3 +61,18 @@ def test_stages_against_brute_force(spark, tmp_path):
         state = expect
     final = P.run(spark, str(tmp_path))
     assert final.columns == docs.columns and final.agg({"length": "sum"}).first()[0] == sum(total.values())
+
+
+def test_edge_cases_pass_every_stage(spark, tmp_path):
+    """No language labelled, nulls, a repeated id with another text, a very long text, columns with clashing names; and an empty table."""
+    long = "river shine " * 40_000
+    rows = [(1, "the and with thing over shine"), (1, "lune chien oui eau encore une fois"), (2, long), (3, None), (4, ""), (5, "12 34"), (None, "the river over the lune"), (6, "the and with thing over shine")]
+    schema = SCHEMA + ", row string, i string, th string, s string"
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), "r", "i", "t", "s") for i, t in rows], schema)
+    docs.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    got = P.run(spark, str(tmp_path / "some")).groupBy("doc_id").sum("length").collect()
+    encode = encoder()
+    want = {2: len(encode(long)) + 1, None: len(encode(rows[6][1])) + 1, 1: len(encode(rows[0][1])) + len(encode(rows[1][1])) + 2}
+    assert {r[0]: r[1] for r in got} == want
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
