@@ -11,7 +11,9 @@ from quern.operators import calibrate as Q
 from quern.operators import ensemble as E
 from quern.operators import sampling as S
 from quern.operators.manifest import checked_join
+from quern.operators.prefix import running_sums
 from quern.plans.fixtures import LONG, OBS, PRED, RUNS, long_obs, obs, preds
+from quern.plans.scratch import Scratch
 from quern.registry import query
 
 LOGIT = "ln(score / (1e0 - score))"
@@ -197,7 +199,7 @@ def simplex_grid(spark, d):
 @query()
 def coordinate_ascent_auroc(spark, d):
     """Weights of three candidates on a base run."""
-    wide = E.pivot_runs(preds(spark, d), list(RUNS)).cache()
+    wide = Scratch(spark).write(E.pivot_runs(preds(spark, d), list(RUNS)), "wide")
     w, best = E.coordinate_ascent(wide, "r2", ["r0", "r1", "r3"], "auroc", np.linspace(0, 0.5, 11), cap=0.75, sweeps=2)
     return spark.createDataFrame([(*w, best)], "r0 double, r1 double, r3 double, auroc double")
 
@@ -206,7 +208,7 @@ def coordinate_ascent_auroc(spark, d):
 def coordinate_ascent_residual(spark, d):
     """Additive residuals of candidates that cover a part."""
     wide = E.pivot_runs(preds(spark, d).withColumn("target", F.col("y")), list(RUNS))
-    wide = wide.withColumn("r1", F.when(F.col("entity_idx") % 3 != 0, F.col("r1")).otherwise(F.col("r2"))).cache()
+    wide = Scratch(spark).write(wide.withColumn("r1", F.when(F.col("entity_idx") % 3 != 0, F.col("r1")).otherwise(F.col("r2"))), "wide")
     w, best = E.coordinate_ascent(wide, "r2", ["r1", "r3"], "pearson", np.linspace(0, 0.3, 11), mode="residual", sweeps=2)
     return spark.createDataFrame([(*w, best)], "r1 double, r3 double, pearson double")
 
@@ -249,10 +251,8 @@ def misaligned_entities(spark, d):
 @query(f"WITH {PRED} SELECT entity_idx, score, row_number() OVER (ORDER BY entity_idx DESC) - 1 AS position FROM pred WHERE run = 'r0'")
 def export_candidates(spark, d):
     """One task's rows in a reference's order, fully covered."""
-    from pyspark.sql import Window as W
-
     p = preds(spark, d, ["r0"])
-    ref = p.select("entity_idx", (F.row_number().over(W.orderBy(F.desc("entity_idx"))) - 1).cast("long").alias("position"))  # the reference's positions are given
+    ref = running_sums(p.select("entity_idx", F.lit(1).alias("one")), [], "entity_idx", {"upto": "one"}, descending=True).select("entity_idx", (F.col("upto") - 1).cast("long").alias("position"))  # the reference's positions are given
     return E.reindex(p.select("entity_idx", "score"), ref, "entity_idx", "position").select("entity_idx", "score", "position")
 
 
@@ -268,7 +268,7 @@ def temperature_grid(spark, d):
 @query()
 def calibration_fits(spark, d):
     """Q1, Q2, Q3: temperature, Platt and beta parameters of one run."""
-    z = preds(spark, d, ["r0"]).withColumn("score", F.log(F.col("score") / (1 - F.col("score")))).cache()
+    z = Scratch(spark).write(preds(spark, d, ["r0"]).withColumn("score", F.log(F.col("score") / (1 - F.col("score")))), "logits")
     rows = [("temperature", [Q.fit_temperature(z)]), ("platt", list(Q.fit_platt(z))), ("beta", list(Q.fit_beta(z)))]
     return spark.createDataFrame(rows, "method string, parameters array<double>")
 
@@ -276,7 +276,7 @@ def calibration_fits(spark, d):
 @query()
 def isotonic_calibration(spark, d):
     """Q4: isotonic fit by MLlib, applied as a column and as a clipped logit."""
-    p = preds(spark, d, ["r0"]).cache()
+    p = Scratch(spark).write(preds(spark, d, ["r0"]), "scores")
     k, v = Q.fit_isotonic(p)
     return p.select("entity_idx", "target", "score", *r6(calibrated=Q.apply_isotonic(F.col("score"), k, v), logit=Q.isotonic_logit(F.col("score"), k, v)))
 
