@@ -98,3 +98,22 @@ def best_mcc(df, by, target="target", score="score", parts=32) -> DataFrame:
     g = g.join(F.broadcast(total), by) if by else g.crossJoin(F.broadcast(total))  # a row for each group
     g = g.withColumns({"fn": F.col("pp") - F.col("tp"), "tn": F.col("nn") - F.col("fp")}).withColumns(rates())
     return g.groupBy(*by).agg(F.max(F.struct(F.round("mcc", 12).alias("r"), "s", "mcc")).alias("b")).select(*by, F.col("b.mcc").alias("mcc"), F.col("b.s").alias("threshold"))
+
+
+def task_reports(df, entity: str, regression_tasks: list[str], task="task", target="target", score="score") -> DataFrame:
+    """(task, auroc, auprc, spearman, rmse): entities weigh the same within a task. Binary tasks weight a
+    row by one over its entity's rows; regression tasks take the entity's mean target and mean score."""
+    is_regression = F.col(task).isin(regression_tasks)
+    keys = [task, entity]
+    b = df.where(~is_regression)
+    b = b.join(b.groupBy(*keys).agg((1.0 / F.count("*")).alias("_w")), keys)
+    r = df.where(is_regression).groupBy(*keys).agg(F.avg(target).alias(target), F.avg(score).alias(score))
+    binary = auroc(b, [task], target, score, "_w").join(average_precision(b, [task], target, score, "_w"), task)
+    other = regression(r, [task], target, score)
+    none = F.lit(None).cast("double")
+    return binary.select(task, "auroc", "auprc", none.alias("spearman"), none.alias("rmse")).union(other.select(task, none, none, "spearman", "rmse"))
+
+
+def balanced(reports) -> DataFrame:
+    """One row: the mean over tasks of 1 - auroc (binary) or 1 - spearman (regression); lower is better."""
+    return reports.agg(F.avg(1 - F.coalesce("auroc", "spearman")).alias("balanced_objective"))

@@ -98,12 +98,30 @@ def folds(df: DataFrame, k: int = 5, seed: int = 20260830, idx: str = "entity_id
     return df.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(target).orderBy(h)) - 1, F.lit(k)).cast("int"))
 
 
+#: Method name to (fit over a frame, calibrated logit of a score by the fit).
+METHODS = {
+    "platt": (fit_platt, lambda x, p: p[0] * x + p[1]),
+    "beta": (fit_beta, lambda x, p: beta_logit(x, *p)),
+    "isotonic": (fit_isotonic, lambda x, p: isotonic_logit(x, *p)),
+}
+
+
+def crossfit(df: DataFrame, method: str, k: int = 5, target: str = "target", score: str = "score") -> DataFrame:
+    """df with fold and out_of_fold: each fold's scores by the fit of the others. Fits are a few numbers,
+    isotonic ones a knot for each distinct value of the fit."""
+    from quern.plans.scratch import Scratch
+
+    fit, apply = METHODS[method]
+    f = Scratch(df.sparkSession).write(folds(df, k, target=target), "folds")
+    out = None
+    for i in range(k):
+        p = fit(f.where(F.col("fold") != i), target, score)
+        out = F.when(F.col("fold") == i, apply(F.col(score), p)) if out is None else out.when(F.col("fold") == i, apply(F.col(score), p))
+    return f.withColumn("out_of_fold", out)
+
+
 def crossfit_platt(df: DataFrame, k: int = 5, target: str = "target", score: str = "score") -> DataFrame:
-    """df with fold and out_of_fold: each fold's scores by the fit of the others."""
-    f = folds(df, k, target=target).cache()
-    fits = [fit_platt(f.where(F.col("fold") != i), target, score) for i in range(k)]
-    a, b = (F.array(*[F.lit(x[j]) for x in fits]) for j in range(2))
-    return f.withColumn("out_of_fold", a[F.col("fold")] * F.col(score) + b[F.col("fold")])
+    return crossfit(df, "platt", k, target, score)
 
 
 def quantile_threshold_mcc(df: DataFrame, n: int = 2001, target: str = "target", score: str = "score") -> DataFrame:

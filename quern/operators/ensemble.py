@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
@@ -44,9 +45,17 @@ def subset_means(preds: DataFrame, runs: list[str]) -> DataFrame:
     return preds.join(s, "run").groupBy("subset", "entity_idx").agg(F.first("target").alias("target"), F.avg("score").alias("score"))
 
 
-def rank_subsets(preds: DataFrame, runs: list[str]) -> DataFrame:
-    m = subset_means(preds, runs)
-    return M.auroc(m, ["subset"]).join(M.average_precision(m, ["subset"]), "subset").orderBy(F.desc("auroc"), F.desc("auprc"), "subset")
+def rank_subsets(preds: DataFrame, runs: list[str], best: int = 256) -> DataFrame:
+    """(subset, rank, auroc, auprc, slope, intercept): the best subsets by AUROC, then AUPRC, then number,
+    with the least-squares line of their mean score. preds has the column y, the target of the line."""
+    from quern.operators.calibrate import affine
+
+    m = subset_means(preds, runs).withColumn("score", F.round("score", 12))
+    r = M.auroc(m, ["subset"]).join(M.average_precision(m, ["subset"]), "subset").select("subset", F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
+    order = F.desc("auroc"), F.desc("auprc"), F.asc("subset")
+    top = r.orderBy(*order).limit(best).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # `best` rows
+    y = preds.select("run", "entity_idx", F.col("y").alias("target"), "score")
+    return top.join(affine(subset_means(y, runs), ["subset"]), "subset")
 
 
 def weighted(preds: DataFrame, weights: dict[str, float], normalise: bool = True) -> DataFrame:
@@ -114,6 +123,17 @@ OBJECTIVES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def oriented(preds: DataFrame, by: str = "run", binary: str = "target", continuous: str = "y") -> DataFrame:
+    """(by, objective, value) of every objective, errors negated so that higher is better."""
+    g = preds.withColumn("point", F.col(by))
+    out = None
+    for name, f in OBJECTIVES.items():
+        t = continuous if name in ("spearman", "pearson", "rmse", "mae") else binary
+        part = f(g.withColumn("target", F.col(t))).select(F.col("point").alias(by), F.lit(name).alias("objective"), "value")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def coordinate_ascent(wide: DataFrame, base: str, candidates: list[str], objective: str, grid: np.ndarray, cap: float = 0.5, sweeps: int = 6, mode: str = "simplex", start: list[float] | None = None, gain: float = 1e-12) -> tuple[list[float], float]:
     """(weights of the candidates, value). One coordinate at a time takes the grid's best value, if that
     gains more than `gain`. mode: simplex, base has what candidates leave; residual, w * (candidate - base)

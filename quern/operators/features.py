@@ -215,3 +215,46 @@ def project(df: DataFrame, vec: str, mean: np.ndarray, comp: np.ndarray, name: s
 
     x = F.zip_with(F.col(vec), F.array(*map(F.lit, mean.tolist())), lambda a, m: a - m)
     return df.withColumn("_x", x).withColumn(name, F.array(*[dot(F.col("_x"), F.array(*map(F.lit, c.tolist()))) for c in comp])).drop("_x")
+
+
+def ema(df: DataFrame, by: str, step: str, col: str, decay: float = 0.9) -> DataFrame:
+    """(by, step, ema): the exponential average of a run's steps, started at the first. A run's steps are one group."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, step)}
+
+    def run(pdf):
+        pdf = pdf.sort_values(step)
+        return pdf[[by, step]].assign(ema=pdf[col].astype(float).ewm(alpha=1 - decay, adjust=False).mean())
+
+    return df.select(by, step, col).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {step} {kinds[step]}, ema double")
+
+
+def checked_stats(rows: DataFrame, expected: DataFrame, key: str, col: str, length: str = "length") -> DataFrame:
+    """entities, missing, mismatched, n, mean, std: statistics of the rows of entities that have as many
+    rows as expected; entities without rows and with another number of them are counted and left out."""
+    per = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(col).alias("m"), F.var_pop(col).alias("v"))
+    j = expected.select(key, length).join(per, key, "left")
+    good = F.col("n") == F.col(length)
+    w = lambda x: F.sum(F.when(good, F.col("n") * x))
+    t = j.agg(
+        F.count("*").alias("entities"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") != F.col(length)).alias("mismatched"),
+        F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("n"), w(F.col("m")).alias("s"), w(F.col("v") + F.col("m") * F.col("m")).alias("q"),
+    )
+    mean = F.try_divide("s", "n")
+    return t.select("entities", "missing", "mismatched", "n", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0))).alias("std"))
+
+
+def compact_row(scalars: Column, others: Column, mean: Column, std: Column, confidence: Column) -> Column:
+    """scalars, then others standardised by position, then the confidence: one array."""
+    z = F.transform(F.arrays_zip(others.alias("x"), mean.alias("m"), std.alias("s")), lambda e: (e["x"] - e["m"]) / F.greatest(e["s"], F.lit(1e-6)))
+    return F.concat(scalars, z, F.array(confidence))
+
+
+def schema_violations(df: DataFrame, key: str, vector: str, width: int, confidence: str, top: float = 1.0) -> DataFrame:
+    """(key, kind) of rows whose vector has another width or a value that is not finite, or whose confidence
+    lies outside [0, top]; nulls violate."""
+    v, c = F.col(vector), F.col(confidence)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kinds = F.array_compact(F.array(
+        F.when(~F.coalesce(F.size(v) == width, F.lit(False)), "width"), F.when(~F.coalesce(finite, F.lit(False)), "finite"), F.when(~F.coalesce(c.between(0.0, top), F.lit(False)), "range"),
+    ))
+    return df.select(key, F.explode(kinds).alias("kind"))

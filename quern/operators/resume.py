@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.scratch import Scratch
 from quern.sources import sinks
+from quern.sources.readers import exists
 
 
 def valid_shards(data: DataFrame, markers: DataFrame, shard: str) -> DataFrame:
@@ -44,26 +46,49 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def run_shards(spark: SparkSession, path: str, config: dict, assigned: list[int], compute: Callable[[list[int]], DataFrame], shard: str = "shard") -> DataFrame:
     """Computes the assigned shards that are not valid under path and returns all data. Another
     configuration than the one stored there is refused; a shard that fails its checksum is computed
     again, the others are not touched."""
     marker = f"{path}/config"
-    if _exists(spark, marker):
+    if exists(spark, marker):
         if spark.read.text(marker, wholetext=True).first()[0].strip() != config_hash(config):
             raise ValueError("the stored configuration differs")
     else:
         spark.createDataFrame([(config_hash(config),)], "value string").coalesce(1).write.text(marker)
     todo = sorted(assigned)
-    if _exists(spark, f"{path}/markers"):
+    if exists(spark, f"{path}/markers"):
         ok = {r[0] for r in valid_shards(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/markers"), shard).collect()}
         todo = [s for s in todo if s not in ok]
     if todo:
         new = Scratch(spark).write(compute(todo), "shards")
         sinks.write_shards(new, path, shard)
     return spark.read.parquet(f"{path}/data")
+
+
+def reduce_when_complete(spark: SparkSession, path: str, assigned: list[int], reduce: Callable[[DataFrame], DataFrame], shard: str = "shard") -> DataFrame:
+    """reduce over the data of run_shards, once every assigned shard is valid; an error before."""
+    data = spark.read.parquet(f"{path}/data")
+    units = spark.createDataFrame([(s,) for s in assigned], data.select(shard).schema)
+    require_complete(units, valid_shards(data, spark.read.parquet(f"{path}/markers"), shard), shard)
+    return reduce(data)
+
+
+def start_run(spark: SparkSession, base: str, run: str, config: dict) -> str:
+    """The folder of a run, with config.json and environment.json. A run that exists must have the same configuration."""
+    path = f"{base}/run={run}"
+    marker = f"{path}/config.json"
+    if exists(spark, marker):
+        stored = json.loads(spark.read.text(marker, wholetext=True).first()[0])
+        if config_hash(stored) != config_hash(config):
+            raise ValueError(f"run {run}: the stored configuration differs")
+    else:
+        sinks.write_json(spark, marker, config)
+        sinks.write_json(spark, f"{path}/environment.json", {"spark": spark.version, "python": platform.python_version()})
+    return path
+
+
+def read_runs(spark: SparkSession, base: str, document: str) -> DataFrame:
+    """(run, key, value): the entries of one JSON document (config, metrics, ...) of every run under base."""
+    files = spark.read.text(f"{base}/run=*/{document}.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), "run=([^/]+)/", 1).alias("run"), "value")
+    return files.select("run", F.explode(F.from_json("value", "map<string,string>")))

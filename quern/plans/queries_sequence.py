@@ -89,7 +89,19 @@ def threshold_sensitivity(spark, d):
     return audit.threshold_sensitivity(edges(spark, d), short(spark, d), Scratch(spark))
 
 
-@query()
+FILTERS = {
+    "none": "true", "min_length_30": "s >= 30", "min_length_50": "s >= 50", "min_length_100": "s >= 100", "no_ambiguous": "clear", "no_motif": "free",
+    "ratio_50": "s / l >= 0.5e0", "ratio_80": "s / l >= 0.8e0", "conservative": "s >= 50 AND clear AND free AND s / l >= 0.5e0",
+}
+
+
+@query(
+    "WITH RECURSIVE " + LCS + ", q AS (SELECT i, j, least(x.length, y.length) AS s, greatest(x.length, y.length) AS l, NOT regexp_matches(x.sequence || y.sequence, '[XB]') AS clear, "
+    "NOT regexp_matches(x.sequence || ' ' || y.sequence, 'RING|BOLT') AS free FROM si JOIN short x ON x.entity_idx = i JOIN short y ON y.entity_idx = j WHERE si >= 0.5e0), "
+    "o AS (" + " UNION ALL ".join(f"SELECT '{k}' AS filter, i, j FROM q WHERE {c}" for k, c in FILTERS.items()) + "), e AS (SELECT * FROM o UNION ALL SELECT filter, j, i FROM o), f(filter) AS (VALUES " + ", ".join(f"('{k}')" for k in FILTERS) + "), "
+    "r(filter, node, root) AS (SELECT filter, entity_idx, entity_idx FROM short, f UNION SELECT e.filter, e.j, r.root FROM r JOIN e ON r.node = e.i AND r.filter = e.filter), k AS (SELECT filter, root, count(*) AS k FROM (SELECT filter, node, min(root) AS root FROM r GROUP BY 1, 2) GROUP BY 1, 2) "
+    "SELECT filter, count(*) AS components, max(k) AS largest, count(*) FILTER (k = 1) AS singletons, coalesce(sum(k) FILTER (k > 1), 0)::BIGINT AS non_singleton_entities FROM k GROUP BY filter"
+)
 def filter_sensitivity(spark, d):
     """Components under nine edge filters."""
     n = short(spark, d)
@@ -142,14 +154,43 @@ def split_inputs(spark, d):
     return c, o.join(c.select("sequence", "component"), "sequence")
 
 
-@query()
+def _gain(k: int) -> str:
+    """SQL of what a component adds to the weighted error of split k."""
+    return f"round(list_sum(list_transform(range(1, len(v) + 1), lambda i: w[i] * v[i] * (2 * (h{k}[i] - g{k}[i]) + v[i]) / g{k}[i])), 9)"
+
+
+def _tie(k: int) -> str:
+    """SQL of split k as a candidate: its error, then the hash that breaks ties."""
+    return f"{{'e': e{k}, 'h': substr(sha256('{split.SEED}:' || component || ':{split.SPLITS[k]}'), 1, 16), 'k': {k}}}"
+
+
+ALLOCATED = (
+    COMPONENTS.format(0.65) + ", c AS (SELECT entity_idx, sequence, root AS component FROM comp JOIN short ON node = entity_idx), "
+    "o AS (SELECT component, p_type AS src, p_partkey % 3 = 0 AS cont, CASE WHEN p_partkey % 3 = 0 THEN p_size / 50e0 ELSE p_size % 2 END AS v FROM part JOIN c ON c.sequence = upper(replace(p_name, ' ', ''))), "
+    "ft AS (SELECT component, 'entities' AS feature, count(*)::DOUBLE AS value FROM c GROUP BY component UNION ALL SELECT component, feature, count(*)::DOUBLE FROM (SELECT component, 'observations' AS feature FROM o UNION ALL SELECT component, 'source:' || src FROM o "
+    "UNION ALL SELECT component, CASE WHEN cont THEN 'value_bin:' || least(floor(greatest(least(v, 1), 0) * 10), 9)::INT ELSE 'binary:' || src || ':' || v::INT END FROM o) GROUP BY 1, 2), "
+    "tot AS (SELECT feature, sum(value) AS t, CASE split_part(feature, ':', 1) WHEN 'value_bin' THEN 4e0 WHEN 'entities' THEN 4e0 WHEN 'binary' THEN 2e0 WHEN 'source' THEN 1.5e0 ELSE 1e0 END AS w FROM ft GROUP BY feature), "
+    "goal AS (SELECT " + ", ".join(f"list(greatest({split.FRACTIONS[x]}e0 * t, 1e0) ORDER BY feature) AS g{k}" for k, x in enumerate(split.SPLITS)) + ", list(w ORDER BY feature) AS w FROM tot), "
+    "vec AS (SELECT d.component, list(coalesce(ft.value, 0e0) ORDER BY tot.feature) AS v, max(ft.value) FILTER (tot.feature = 'entities') AS e, max(ft.value) FILTER (tot.feature = 'observations') AS obs FROM (SELECT DISTINCT component FROM c) d CROSS JOIN tot LEFT JOIN ft ON ft.component = d.component AND ft.feature = tot.feature GROUP BY d.component), "
+    "ordered AS (SELECT component, v, row_number() OVER (ORDER BY e DESC NULLS LAST, obs DESC NULLS LAST, component) AS r FROM vec), "
+    "fold(r, component, k, h0, h1, h2) AS (SELECT r, component, 0, v, list_transform(v, lambda x: 0e0), list_transform(v, lambda x: 0e0) FROM ordered WHERE r = 1 UNION ALL SELECT r, component, k, "
+    + ", ".join(f"CASE WHEN k = {k} THEN list_transform(range(1, len(v) + 1), lambda i: h{k}[i] + v[i]) ELSE h{k} END" for k in range(3))
+    + " FROM (SELECT *, list_sort([" + ", ".join(_tie(k) for k in range(3)) + "])[1].k AS k FROM (SELECT n.r, n.component, n.v, h0, h1, h2, " + ", ".join(f"{_gain(k)} AS e{k}" for k in range(3)) + " FROM fold JOIN ordered n ON n.r = fold.r + 1, goal))), "
+    "s AS (SELECT entity_idx, component, CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM c JOIN fold USING (component))"
+)
+
+
+@query(f"WITH RECURSIVE {ALLOCATED} SELECT entity_idx, component, split FROM s")
 def strict_split(spark, d):
     """Section 2.14: components to splits by a greedy balance; a sequential fold."""
     c, o = split_inputs(spark, d)
     return c.join(split.allocate(split.component_features(c, o)), "component").select("entity_idx", "component", "split")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {ALLOCATED}, x AS (SELECT count(*) FILTER (si >= 0.65e0) AS violations, max(si) AS max_cross_identity, count(*) AS cross_pairs FROM si JOIN s a ON a.entity_idx = i JOIN s b ON b.entity_idx = j WHERE a.split <> b.split) "
+    "SELECT x.*, (SELECT count(*) FROM s) AS entities, (SELECT count(*) - count(DISTINCT entity_idx) FROM s) AS repeated FROM x"
+)
 def split_validation(spark, d):
     """Section 2.15, J9: violations, closest pair and cross pairs of the split."""
     c, o = split_inputs(spark, d)
@@ -232,19 +273,35 @@ def patch_inputs(spark, d):
     return full, r
 
 
-@query()
+PATCHES = NBR + (
+    ", cat(category, allowed) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in features.CATEGORIES.items()) + "), m AS (SELECT entity, pos, category, rsa * 10 >= 0.25e0 AND contains(allowed, token) AS inside FROM res, cat), "
+    "l AS (SELECT nb.entity, a.category, nb.i, nb.j FROM nb JOIN m a ON a.entity = nb.entity AND a.pos = nb.i AND a.inside JOIN m b ON b.entity = nb.entity AND b.pos = nb.j AND b.inside AND b.category = a.category WHERE dist > 1e-6 AND dist <= 8), "
+    "l2 AS (SELECT entity, category, i, j FROM l UNION SELECT entity, category, j, i FROM l), r(entity, category, node, root) AS (SELECT entity, category, pos, pos FROM m WHERE inside UNION SELECT r.entity, r.category, l2.j, r.root FROM r JOIN l2 ON l2.entity = r.entity AND l2.category = r.category AND l2.i = r.node), "
+    "least_root AS (SELECT entity, category, node, min(root) AS root FROM r GROUP BY 1, 2, 3), "
+    "patched AS (SELECT m.entity, m.pos, m.category, CASE WHEN root IS NOT NULL THEN dense_rank() OVER (PARTITION BY m.entity, m.category ORDER BY root NULLS LAST) - 1 END AS patch FROM m LEFT JOIN least_root k ON k.entity = m.entity AND k.category = m.category AND k.node = m.pos)"
+)
+
+
+@query(f"WITH RECURSIVE {PATCHES} SELECT entity, pos, category, patch FROM patched")
 def surface_patches(spark, d):
     """Spatial patches of residue categories in each entity."""
     return features.patch_components(patch_inputs(spark, d)[0], "entity").select("entity", "pos", "category", "patch")
 
 
-@query()
+@query(f"WITH RECURSIVE {PATCHES} SELECT entity, category, patch, sum(value) AS total, min(value) AS low, max(value) AS high, count(*) AS n FROM patched JOIN res USING (entity, pos) WHERE patch IS NOT NULL GROUP BY 1, 2, 3")
 def patch_pooling(spark, d):
-    """Sums, minima and maxima over patches."""
+    """Sums, minima and maxima over patches."""
     full, r = patch_inputs(spark, d)
     return features.patch_pool(r, features.patch_components(full, "entity"), "entity", "value")
 
 
+@query(f"WITH RECURSIVE {PATCHES} SELECT entity, category, count(DISTINCT patch) AS patches FROM patched GROUP BY 1, 2")
+def patch_counts(spark, d):
+    """Patches of each category in each entity."""
+    p = features.patch_components(patch_inputs(spark, d)[0], "entity")
+    return p.groupBy("entity", "category").agg(F.count_distinct("patch").alias("patches"))
+
+
 @query()
 def pca_projection(spark, d):
     """Components of training rows only, applied to all."""

@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # the modules register their queries as they are imported
-from quern.plans import queries_metrics, queries_relational, queries_sequence  # noqa: E402, F401
+from quern.plans import queries_files, queries_metrics, queries_relational, queries_sequence  # noqa: E402, F401

@@ -5,6 +5,10 @@ Schemas are declared, never inferred; text columns are cast where they are used.
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +20,11 @@ THREE_TO_ONE = {
 }
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as text, by header; a byte-order mark before the first name is dropped."""
     raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
@@ -94,8 +103,46 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
     return (r.schema(schema) if schema else r).json(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(run, entity_idx, target, score): the column is `logits` where there is one, else `predictions`."""
-    df = spark.read.parquet(path)
+def read_predictions(spark: SparkSession, *paths: str) -> DataFrame:
+    """(run, entity_idx, target, score) of the first path that exists, the others being fallbacks: the
+    column is `logits` where there is one, else `predictions`."""
+    found = next((p for p in paths if exists(spark, p)), None)
+    if found is None:
+        raise FileNotFoundError(f"none of {list(paths)}")
+    df = spark.read.parquet(found)
     score = "logits" if "logits" in df.columns else "predictions"
     return df.select("run", F.col("entity_idx").cast("long"), F.col("target").cast("double"), F.col(score).cast("double").alias("score"))
+
+
+def npy_rows(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, name, row, vector) of the bytes of .npy and .npz files: a row for each index of the first
+    axis, the rest flattened. name is the array's in an archive, else empty. A file is held whole by its
+    task; pickled objects are refused."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for k, raw in zip(pdf[key], pdf[content]):
+                got = np.load(io.BytesIO(raw), allow_pickle=False)
+                arrays = {n: got[n] for n in got.files} if isinstance(got, np.lib.npyio.NpzFile) else {"": got}
+                for name, a in arrays.items():
+                    a = np.atleast_1d(a)
+                    flat = a.reshape(len(a), -1).astype(float)
+                    yield pd.DataFrame({key: [k] * len(a), "name": name, "row": np.arange(len(a)), "vector": list(flat)})
+
+    return files.select(key, content).mapInPandas(run, f"{key} {kind}, name string, row long, vector array<double>")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """npy_rows of the files under a path, by their path."""
+    return npy_rows(spark.read.format("binaryFile").load(path), "path", "content")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url, revision, sha256, licence) of a JSON-lines catalogue of sources; an entry without a
+    name, a url or a 64-digit hash is an error."""
+    c = read_json(spark, path, "name string, url string, revision string, sha256 string, licence string", lines=True)
+    bad = c.where(~(F.coalesce(F.col("name") != "", F.lit(False)) & F.coalesce(F.col("url") != "", F.lit(False)) & F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)))).limit(1).collect()
+    if bad:
+        raise ValueError(f"incomplete source: {bad[0].asDict()}")
+    return c

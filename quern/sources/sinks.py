@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    df.select(*fields).write.mode("overwrite").option("header", True).csv(path)
+    """Quotes are doubled and white space is kept, as readers.read_csv expects."""
+    out = df.select(*fields).write.mode("overwrite").option("header", True).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
