@@ -147,33 +147,65 @@ def knn(df: DataFrame, idx: str, vec: str, k: int = 3, block: int = 2048) -> Dat
     return near.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("dist", "j"))).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
+def whole_groups(batches, by: str):
+    """Frames of whole groups from batches that are sorted by the group: a batch's last group waits for the next."""
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = pdf[by].ne(pdf[by].iloc[-1]).to_numpy().nonzero()[0]
+        cut = new[-1] + 1 if len(new) else 0
+        if cut or (held and held[-1][by].iloc[-1] != pdf[by].iloc[-1]):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def patch_components(residues: DataFrame, by: str, rsa_least: float = 0.25, cutoff: float = 8.0) -> DataFrame:
     """(by, pos, category, patch): residues (pos, residue, rsa, nbrs, dists) of one entity make patches of
     exposed residues of a category that are within the cutoff; null for residues outside. Patches are
-    numbered by their first residue. An entity is one group, as long as its sequence."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, rows = pdf["pos"].tolist(), []
-        at = {p: k for k, p in enumerate(pos)}
-        for name, allowed in CATEGORIES.items():
-            member = (pdf["rsa"].to_numpy() >= rsa_least) & pdf["residue"].isin(list(allowed)).to_numpy()
-            label = np.where(member, np.arange(len(pos)), -1)
-            links = [(k, at[q]) for k, (ns, ds) in enumerate(zip(pdf["nbrs"], pdf["dists"])) if member[k] for q, d in zip(ns, ds) if 1e-6 < d <= cutoff and q in at and member[at[q]]]
-            moved = True
-            while moved:
-                moved = False
-                for a, b in links:
-                    low = min(label[a], label[b])
-                    if label[a] != low or label[b] != low:
-                        label[a] = label[b] = low
-                        moved = True
-            number: dict[int, int] = {}
-            for p, x in zip(pos, label):
-                rows.append((pdf[by].iloc[0], p, name, None if x < 0 else number.setdefault(int(x), len(number))))
-        return pd.DataFrame(rows, columns=[by, "pos", "category", "patch"]).astype({"patch": "Int64"})
+    numbered by their first residue. Entities stream through tasks in order, many in one vectorised step;
+    what a task holds is a batch and the entity at its end, as long as its sequence."""
+    def run(batches):
+        for pdf in whole_groups(batches, by):
+            n, here = len(pdf), np.arange(len(pdf))
+            starts = np.r_[True, pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]]
+            group = np.cumsum(starts) - 1
+            counts = pdf["nbrs"].map(len).to_numpy(int)
+            near = pd.DataFrame({
+                "a": np.repeat(here, counts), "group": np.repeat(group, counts),
+                "pos": np.concatenate([np.asarray(x, np.int64) for x in pdf["nbrs"]]), "d": np.concatenate([np.asarray(x, float) for x in pdf["dists"]]),
+            })
+            near = near[(near["d"] > 1e-6) & (near["d"] <= cutoff)]
+            near = near.merge(pd.DataFrame({"group": group, "pos": pdf["pos"].to_numpy(np.int64), "b": here}), on=["group", "pos"])
+            a, b = near["a"].to_numpy(), near["b"].to_numpy()
+            exposed = pdf["rsa"].to_numpy(float) >= rsa_least
+            for name, allowed in CATEGORIES.items():
+                member = exposed & pdf["residue"].isin(list(allowed)).to_numpy()
+                both = member[a] & member[b]
+                x, y = a[both], b[both]
+                label = here.copy()
+                while True:
+                    low = np.minimum(label[x], label[y])
+                    new = label.copy()
+                    np.minimum.at(new, x, low)
+                    np.minimum.at(new, y, low)
+                    new = new[new]
+                    if (new == label).all():
+                        break
+                    label = new
+                root = member & (label == here)
+                upto = np.cumsum(root)
+                before = (upto - root)[starts][group]
+                patch = pd.array(np.where(member, upto[label] - 1 - before, 0), dtype="Int64")
+                patch[~member] = pd.NA
+                yield pd.DataFrame({by: pdf[by], "pos": pdf["pos"], "category": [name] * n, "patch": patch})
 
     kind = residues.schema[by].dataType.simpleString()
-    return residues.groupBy(by).applyInPandas(run, f"{by} {kind}, pos long, category string, patch long")
+    ordered = residues.select(by, "pos", "residue", "rsa", "nbrs", "dists").repartition(by).sortWithinPartitions(by, "pos")
+    return ordered.mapInPandas(run, f"{by} {kind}, pos long, category string, patch long")
 
 
 def patch_pool(values: DataFrame, patches: DataFrame, by: str, col: str, weight: str | None = None) -> DataFrame:
@@ -218,14 +250,22 @@ def project(df: DataFrame, vec: str, mean: np.ndarray, comp: np.ndarray, name: s
 
 
 def ema(df: DataFrame, by: str, step: str, col: str, decay: float = 0.9) -> DataFrame:
-    """(by, step, ema): the exponential average of a run's steps, started at the first. A run's steps are one group."""
+    """(by, step, ema): the exponential average of a run's steps, started at the first. Rows stream through
+    tasks in order; what a task keeps is the last average."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (by, step)}
 
-    def run(pdf):
-        pdf = pdf.sort_values(step)
-        return pdf[[by, step]].assign(ema=pdf[col].astype(float).ewm(alpha=1 - decay, adjust=False).mean())
-
-    return df.select(by, step, col).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {step} {kinds[step]}, ema double")
+    def run(batches):
+        last, mean = object(), 0.0
+        for pdf in batches:
+            out = []
+            for k, x in zip(pdf[by].tolist(), pdf[col].astype(float).tolist()):
+                mean = decay * mean + (1 - decay) * x if k == last else x
+                last = k
+                out.append(mean)
+            yield pdf[[by, step]].assign(ema=out)
+
+    ordered = df.select(by, step, col).repartition(by).sortWithinPartitions(by, step)
+    return ordered.mapInPandas(run, f"{by} {kinds[by]}, {step} {kinds[step]}, ema double")
 
 
 def checked_stats(rows: DataFrame, expected: DataFrame, key: str, col: str, length: str = "length") -> DataFrame:
