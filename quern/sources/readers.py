@@ -127,7 +127,9 @@ def npy_rows(files: DataFrame, key: str, content: str) -> DataFrame:
                 arrays = {n: got[n] for n in got.files} if isinstance(got, np.lib.npyio.NpzFile) else {"": got}
                 for name, a in arrays.items():
                     a = np.atleast_1d(a)
-                    flat = a.reshape(len(a), -1).astype(float)
+                    if not len(a):
+                        continue
+                    flat = a.reshape(len(a), int(np.prod(a.shape[1:]))).astype(float)
                     yield pd.DataFrame({key: [k] * len(a), "name": name, "row": np.arange(len(a)), "vector": list(flat)})
 
     return files.select(key, content).mapInPandas(run, f"{key} {kind}, name string, row long, vector array<double>")
