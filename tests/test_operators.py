@@ -157,6 +157,54 @@ def test_rank_loss_orders(spark):
         sampling.binary_rank_loss(d, ["b"], temperature=0)
 
 
+def pair_losses(rows, margin=0.0, temperature=1.0):
+    """(loss, number of such pairs), the hardest first."""
+    by = {}
+    for t, s in rows:
+        by[t, s] = by.get((t, s), 0) + 1
+    soft = lambda x: max(x, 0) + math.log1p(math.exp(-abs(x)))
+    return sorted(((soft((margin - a + b) / temperature) * temperature, k * j) for (t, a), k in by.items() if t for (u, b), j in by.items() if not u), reverse=True)
+
+
+def hardest(losses, hard):
+    left = k = math.ceil(sum(w for _, w in losses) * hard)
+    total = 0.0
+    for x, w in losses:
+        total, left = total + x * min(w, left), left - min(w, left)
+    return total / k, k
+
+
+def test_rank_loss_equals_all_pairs(spark):
+    r = random.Random(11)
+    rows = [(b, int(r.random() < 0.7), scale * (round(r.gauss(0, 1), 1) if b % 2 else r.gauss(0, 1))) for b, scale in enumerate((0.1, 1, 10, 300)) for _ in range(150)]
+    d = spark.createDataFrame([*rows, (4, 1, 0.5), (None, 1, 0.5), (None, 0, 0.5)], "b int, target int, score double").repartition(7)
+    for hard, margin, temperature in ((0.5, 0.1, 1.0), (0.03, 0.0, 0.2), (1.0, -3.0, 2.0)):
+        got = {x["b"]: (x["loss"], x["pairs"]) for x in sampling.binary_rank_loss(d, ["b"], temperature, hard, margin).collect()}
+        assert got.pop(4) == (0.0, 0) and got.pop(None) == (0.0, 0) and len(got) == 4
+        for b, (loss, pairs) in got.items():
+            want, k = hardest(pair_losses([x[1:] for x in rows if x[0] == b], margin, temperature), hard)
+            assert pairs == k and loss == pytest.approx(want, rel=1e-10, abs=1e-12)
+
+
+def test_rank_loss_of_odd_scores(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = {0: [(1, None), (1, 1.0), (0, 0.0), (0, 0.5)], 1: [(1, nan), (1, 1.0), (0, 0.0)], 2: [(1, inf), (1, 1.0), (0, 0.0)], 3: [(1, 1.0), (0, inf)], 4: [(1, None), (0, 1.0)]}
+    d = spark.createDataFrame([(b, *x) for b, v in cases.items() for x in v], "b int, target int, score double")
+    got = {x["b"]: (x["loss"], x["pairs"]) for x in sampling.binary_rank_loss(d, ["b"]).collect()}
+    soft = lambda x: math.log1p(math.exp(x))
+    assert got[0] == (pytest.approx((soft(-1.0) + soft(-0.5)) / 2), 2) and math.isnan(got[1][0]) and got[1][1] == 2
+    assert got[2] == (pytest.approx(soft(-1.0) / 2), 2) and got[3] == (inf, 1) and got[4] == (0.0, 0)
+
+
+def test_rank_loss_of_ten_billion_pairs(spark):
+    """Pairs are not formed: 10**10 of them, over 250,000 pairs of values."""
+    d = spark.range(200_000).selectExpr("1 b", "id % 2 target", "(id div 2) * 7919 % 500 / 500D + id % 2 * 0.2D score")
+    x = sampling.binary_rank_loss(d, ["b"], hard=0.5, margin=0.1).first()
+    rows = [(t, v * 7919 % 500 / 500 + t * 0.2) for v in range(500) for t in (0, 1)]
+    want, k = hardest(pair_losses(rows, 0.1), 0.5)
+    assert x["pairs"] == k * 200**2 and x["loss"] == pytest.approx(want, rel=1e-10)
+
+
 def test_recursive_reports(spark):
     w = ensemble.expand_report({"base_run_weights": {"a": 0.6, "b": 0.4}, "base_weight": 0.9, "candidate_weights": {"c": 0.1, "z": 0.0}})
     assert w == pytest.approx({"a": 0.54, "b": 0.36, "c": 0.1, "z": 0.0})
