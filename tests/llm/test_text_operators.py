@@ -287,6 +287,46 @@ def test_language_id_is_kernel_ridge_regression(spark, monkeypatch):
         assert got[i]["score"] == pytest.approx(min(1, max(0, (f[k].max() + 1) / 2)), abs=0.02)
 
 
+def test_language_id_learns_from_every_labelled_row(spark, monkeypatch):
+    """Few landmarks, a small mass of each language: sums, known n-grams and bounds are still those of all rows."""
+    monkeypatch.setattr(language_id, "LANDMARKS", 9)
+    monkeypatch.setattr(language_id, "TRAIN", 12)
+    monkeypatch.setattr(language_id, "RARE", 0.4)
+    rows = [*language_rows(400), (9000, None, "en"), (9001, "12 3", "fr"), (9002, "the and", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for parts in (1, 7):
+        part = language_id.labelled(d.repartition(parts).where(~language_id.held("doc_id")), "doc_id", "text", "lang")
+        counts = {r["l"]: r["count"] for r in part.groupBy("l").count().collect()}
+        base = language_id.basis(language_id.landmarks(part, counts, 12))
+        got.append((base, language_id.totals(part, counts, 12, base)))
+    assert all(np.array_equal(a, b) for a, b in zip(got[0][1], got[1][1]))
+    (at, held_by, sizes), (names, gram, sums, n, seen) = got[0]
+    texts = [(i, t, lang) for i, t, lang in rows if lang and t and i != 9001]
+    _, sets, _ = next(language_id.presence(pa.array([t for _, t, _ in texts])))
+    learn = [k for k, (i, _, _) in enumerate(texts) if crc(i, 4) != 2]
+    k = np.array([held_by[at[sets[r]]][:, : len(sizes)].sum(0) / np.sqrt(len(sets[r]) * sizes) for r in learn])
+    w = np.array([4 / counts[texts[r][2]] for r in learn])
+    assert len(sizes) == 9 and names == sorted(WORDS) and n == pytest.approx(w.sum()) and len(learn) > 250
+    assert gram == pytest.approx((k * w[:, None]).T @ k, rel=1e-4) and sums == pytest.approx(np.array([(w * [texts[r][2] == x for r in learn]) @ k for x in names]), rel=1e-4, abs=1e-5)
+    known = np.zeros(language_id.DIM, bool)
+    for x in names:
+        known |= np.bincount(np.concatenate([sets[r] for r in learn if texts[r][2] == x]), minlength=language_id.DIM) >= 0.4 * counts[x]
+    assert np.array_equal(seen, known) and 0 < known.sum() < len(set(np.concatenate(sets)))
+    bounds = language_id.reach(d, "doc_id", "text", "lang", spark.sparkContext.broadcast((None, seen)))
+    for x in names:
+        shares = sorted(known[s].mean() for (i, _, lang), s in zip(texts, sets) if lang == x and crc(i, 4) == 2)
+        assert bounds[x] == math.floor(shares[len(shares) // 100] * language_id.GRID) / language_id.GRID
+
+
+def test_language_id_has_no_most_languages(spark):
+    r = random.Random(3)
+    rows = [(k, "".join(chr(0x4E00 + 40 * lang + r.randrange(12)) for _ in range(60)), f"l{lang:02}") for k in range(900) for lang in [k % 70 if k < 560 else k % 30]]
+    got = {x["doc_id"]: x for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(i, lang) for i, _, lang in rows if crc(i, 4) == 2]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in held) >= 0.98 * len(held) and {lang for i, lang in held if got[i]["lang_pred"] == lang} >= {f"l{k}" for k in range(64, 70)} & {lang for _, lang in held}
+
+
 def test_keep_known_rejects_foreign_and_junk_texts(spark):
     r = random.Random(12)
     clean = language_rows()
